@@ -38,6 +38,11 @@ SLICE = 2_000_000
 _U = np.uint64
 
 
+def hits_needed(size: np.ndarray) -> np.ndarray:
+    """How many prefix shingles a pair must share, by the smaller set; prefixes are longer by as many."""
+    return 1 + size // 32
+
+
 class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 200_000:
@@ -88,7 +93,7 @@ def identities(owner: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 _FACTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("fp", pa.int64()), ("item_table", pa.string()), ("item_id", pa.int64())])
 _ENTRIES = pa.schema([("list", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
-_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int64()), ("needed", pa.int64())])
 _VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
 
@@ -137,7 +142,7 @@ def _entries(items: DataFrame, sketch: np.ndarray, threshold: float, shingle: in
             owner, g, often = owner[order], g[order], often[order]
             pos = np.arange(len(g)) - starts[owner]
             n = sizes[owner]
-            take = (pos <= n - np.ceil(threshold * n - 1e-9).astype(np.int64)) & new[owner]
+            take = (pos < n - np.ceil(threshold * n - 1e-9).astype(np.int64) + hits_needed(n)) & new[owner]
             owner, g, pos, often = owner[take], g[take], pos[take], often[take]
             keys, who = [mix(g, 17)], [np.arange(len(g))]
             hot = np.flatnonzero(often > LIST_ROWS)
@@ -163,7 +168,8 @@ def block_pairs(lists: np.ndarray, size: np.ndarray, pos: np.ndarray, threshold:
     A block is a list's run of one size. From the lowest size allowed on, an
     entry meets its list's blocks up to its own; with too late a position of its
     own it skips the block, else it takes the block's entries up to the last
-    position that leaves enough.
+    position that leaves enough. Enough is what lets the pair still share as many
+    prefix shingles as it needs.
     """
     n = len(lists)
     opens = np.r_[True, (lists[1:] != lists[:-1]) | (size[1:] != size[:-1])]
@@ -188,9 +194,10 @@ def block_pairs(lists: np.ndarray, size: np.ndarray, pos: np.ndarray, threshold:
         y = np.repeat(np.arange(at, end), count)
         b = np.repeat(low[at:end], count) + np.arange(len(y)) - np.repeat(np.cumsum(count) - count, count)
         need = np.ceil(threshold / (1 + threshold) * (size[y] + block_size[b]) - 1e-9).astype(np.int64)
-        ok = pos[y] <= size[y] - need
-        y, b, need = y[ok], b[ok], need[ok]
-        last = np.searchsorted(keyed, b * wide + np.maximum(block_size[b] - need, -1), "right")
+        spare = hits_needed(block_size[b]) - 1 - need
+        ok = pos[y] <= size[y] + spare
+        y, b, spare = y[ok], b[ok], spare[ok]
+        last = np.searchsorted(keyed, b * wide + np.clip(block_size[b] + spare, -1, wide - 2), "right")
         last = np.minimum(np.minimum(last, stop[b]), np.where(b == block[y], y, last))
         many = np.maximum(last - starts[b], 0)
         done, total = 0, np.cumsum(many)
@@ -228,20 +235,21 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
             for x, y in block_pairs(lists, size, pos, threshold):
                 far = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
                 near = (far <= (1 - threshold) / (1 + threshold) * (size[x] + size[y]) + 1e-9) & (fp[x] != fp[y])
-                x, y = fp[x[near]], fp[y[near]]
-                gathered.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                x, y = x[near], y[near]
+                gathered.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), hits_needed(size[x])], 1))
             if sum(map(len, gathered)) > 50_000:
                 yield from flush(gathered)
         yield from flush(gathered)
 
     def flush(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if gathered:
-            pairs = np.unique(np.concatenate(gathered), axis=0)
+            pairs, hits = np.unique(np.concatenate(gathered), axis=0, return_counts=True)
             gathered.clear()
-            yield batch_of(_CANDIDATES, [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))])
+            yield batch_of(_CANDIDATES, [*(pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)), pa.array(hits), pa.array(np.ascontiguousarray(pairs[:, 2]))])
 
     sorted_lists = entries.repartition("list").sortWithinPartitions("list", "size", "pos", "fp")
-    return sorted_lists.mapInArrow(run, "a long, b long").distinct()
+    counted = sorted_lists.mapInArrow(run, "a long, b long, hits long, needed long").groupBy("a", "b")
+    return counted.agg(F.sum("hits").alias("hits"), F.max("needed").alias("needed")).where("hits >= needed").select("a", "b")
 
 
 def overlaps(sets: dict[int, set], pairs: list[tuple[int, int]], leader: int) -> Iterator[tuple[int, int, int]]:
