@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches
+from .common import batch_of, small_batches, written
 
 DIMENSION = 64
 K = 10
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 40_000
 #: Most cells; their number is the square root of the number of vectors.
 MOST_CELLS = 65_536
 #: Cells that a query scans when near copies are asked for, and when all neighbours are.
-PROBES_NEAR, PROBES_ALL = 3, 96
+PROBES_NEAR, PROBES_ALL = 3, 64
 #: A cell's vectors are split into blocks of about so many.
 BLOCK_ROWS = 8192
 #: Best codes of a scan that are scored exactly, as a multiple of k.
@@ -177,12 +177,11 @@ _SENT = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("id", pa.int64(
 _PAIRS = pa.schema([("id", pa.int64()), ("neighbor", pa.int64()), ("cosine", pa.float64())])
 
 
-def _searched(classes: DataFrame, index: Index, total: int, k: int, probes: int, min_cosine: float | None, asking: str | None) -> DataFrame:
+def _searched(classes: DataFrame, index: Index, total: int, k: int, probes: int, min_cosine: float | None) -> DataFrame:
     """(id, neighbor, cosine): the best k of each probed block for each asking vector, itself aside."""
     held = classes.sparkSession.sparkContext.broadcast(index)
     blocks = np.maximum(1, np.ceil(index.share * total / BLOCK_ROWS)).astype(np.int64)
     width = index.centroids.shape[1]
-    asks = F.expr(asking) if asking else F.lit(True)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
@@ -238,7 +237,7 @@ def _searched(classes: DataFrame, index: Index, total: int, k: int, probes: int,
             found.append((qids[at : at + 512][q_at], who[good], score[good]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_PAIRS)
 
-    sent = classes.select("id", "vector", asks.alias("asks")).mapInArrow(send, "cell int, block int, id long, vector binary, codes binary, asks boolean")
+    sent = classes.select("id", "vector", "asks").mapInArrow(send, "cell int, block int, id long, vector binary, codes binary, asks boolean")
     return sent.groupBy("cell", "block").applyInArrow(search, "id long, neighbor long, cosine double")
 
 
@@ -274,7 +273,7 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int = PRO
     spark = df.sparkSession
     rows = usable_vectors(df, item, vector, dimension)
     keyed = rows.select("id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
-    classes = keyed.groupBy("h1", "h2").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("id"), F.count("id").alias("n"))
+    classes = keyed.groupBy("h1", "h2").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("id"), F.count("id").alias("n"), F.max(F.expr(asking) if asking else F.lit(True)).alias("asks"))
     total = rows.count()
     index = trained_index(rows, total, dimension)
     if index is None:
@@ -282,7 +281,7 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int = PRO
     small_batches(spark)
     several = classes.where("n > 1").select("h1", "h2", F.col("id").alias("class"))
     # every row of a class with copies, and the class's least ids, in two steps so that no class is sorted in one task
-    members = keyed.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("class", "id").distinct()
+    members = written(keyed.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("class", "id").distinct(), "copies")
     part = Window.partitionBy("class", "salt").orderBy("id")
     whole = Window.partitionBy("class").orderBy("id")
     least = (
@@ -293,13 +292,12 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int = PRO
         .where(F.col("r") <= k + 1)
         .select("class", F.col("id").alias("member"))
     )
-    pairs = _searched(classes, index, total, k, probes, min_cosine, None if asking is None else "true")
-    return _expanded(pairs, members, least, k, asking)
+    best = _ranked(_searched(classes, index, total, k, probes, min_cosine), k).drop("rank")
+    return _expanded(written(best, "nearest"), members, least, k, asking)
 
 
-def _expanded(pairs: DataFrame, members: DataFrame, least: DataFrame, k: int, asking: str | None) -> DataFrame:
+def _expanded(best: DataFrame, members: DataFrame, least: DataFrame, k: int, asking: str | None) -> DataFrame:
     """From nearest classes to nearest rows."""
-    best = _ranked(pairs, k).drop("rank")
     # answers: the class itself if it has no copies, else its least ids
     others = best.join(least, best["neighbor"] == least["class"], "left").select(best["id"], F.coalesce("member", best["neighbor"]).alias("neighbor"), "cosine")
     own = least.select(F.col("class").alias("id"), F.col("member").alias("neighbor"), F.lit(1.0).alias("cosine"))
