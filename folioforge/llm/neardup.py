@@ -33,7 +33,7 @@ LIST_ROWS = 20_000
 #: Candidates verified together at most, about.
 CLUSTER_PAIRS = 5_000
 #: Candidates expanded at once in memory.
-SLICE = 2_000_000
+SLICE = 300_000
 
 _U = np.uint64
 
