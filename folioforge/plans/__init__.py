@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import incremental
+from . import entries, incremental, search
 
-_PARTS = (incremental,)
+_PARTS = (incremental, search, entries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
-FLAGSHIP = "p3_found"
+FLAGSHIP = "bm25_top5"
