@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entries, incremental, search
+from . import entries, graph, incremental, index, search
 
-_PARTS = (incremental, search, entries)
+_PARTS = (incremental, search, entries, graph, index)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
