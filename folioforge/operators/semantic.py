@@ -48,7 +48,7 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int, per_file: bool = True)
                 for ids, q in held.value.values():
                     shared = min(q.shape[1], length)
                     norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                    s = np.divide(q[:, :shared] @ x[:, :shared].T, norms, out=np.zeros(norms.shape), where=norms > 0).round(4)
+                    s = np.divide(q[:, :shared] @ x[:, :shared].T, norms, out=np.zeros(norms.shape), where=norms != 0).round(4)
                     at_q, at_x = np.nonzero(~np.isnan(s))
                     part = group[["directory", "path", "section", "ord"]].iloc[at_x].copy()
                     part.insert(0, "query", np.array(ids)[at_q])

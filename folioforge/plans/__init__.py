@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entries, graph, incremental, index, search
+from . import entries, graph, incremental, index, search, streams
 
-_PARTS = (incremental, search, entries, graph, index)
+_PARTS = (incremental, search, entries, graph, index, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
