@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 VERSION = 1
 META = "provider string, model string, dimension int, version int, chunk_chars int, excluded_callouts array<string>"
@@ -23,12 +24,12 @@ def index_path(directory: str) -> Path:
     return Path(directory) / ".index" / "embeddings.jsonl"
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decoded_vector(column: pd.Series) -> pd.Series:
     return column.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<f4").tolist())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def encoded_vector(column: pd.Series) -> pd.Series:
     return column.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
 

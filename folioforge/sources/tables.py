@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The scan in at least as many partitions as the cluster has cores; a scan that has them stays as it is.
+    """The scan over all cores; one that comes in at least half as many splits as there are cores stays as it is.
 
     Only a table of a few files is shuffled, so that texts are worked on by all
     cores; a large one comes in many splits anyway.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
