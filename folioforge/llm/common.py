@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
-from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.staging import written as written
+from ..sources.tables import table as table
 
 _WORD = re.compile("[a-z0-9]+")
 _MARKS = re.compile("[̀-ͯ]+")
@@ -32,10 +29,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(low)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lower the Arrow batch size unless the session already asks for less."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,31 +37,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root, True)
-    return root
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back.
-
-    Unlike a local checkpoint the files outlive any executor. They are removed
-    when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    local = urlparse(path)
-    if local.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, Path(local.path), True)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
