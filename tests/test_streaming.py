@@ -26,7 +26,7 @@ def test_session_memory(spark, tmp_path):
     schema = "session string, query_id long, note string, score double"
     hits = lambda q, *notes: [{"session": "s", "query_id": q, "note": n, "score": 1.0 - i / 10} for i, n in enumerate(notes)]
     drop(tmp_path / "in", "1.json", hits(1, "a", "b", "c", "d"))
-    run = lambda: jobs.unseen_hits(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    run = lambda: jobs.unseen_hits(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start().awaitTermination(60)
     run()
     drop(tmp_path / "in", "2.json", hits(2, "a", "d", "e", "f"))
     run()
