@@ -31,9 +31,12 @@ def front_value(front: Column, name: str) -> Column:
 
 def fronts(pages: DataFrame, *names: str) -> DataFrame:
     """The notes' front matter properties; texts without closed front matter have none."""
-    cut = pages.withColumn("ls", T.lines(F.coalesce("text", F.lit(""))))
-    cut = cut.withColumn("front", F.array_join(F.slice("ls", 2, F.greatest(T.front_matter_lines(F.col("ls")) - 2, F.lit(0))), "\n"))
-    return cut.select(*(c for c in pages.columns if c != "text"), *(front_value(F.col("front"), n).alias(n) for n in names))
+    keep = [c for c in pages.columns if c != "text"]
+    # exploding an array of one keeps an expression from being copied into each that uses it
+    cut = pages.select(*keep, F.explode(F.array(T.lines(F.coalesce("text", F.lit(""))))).alias("ls"))
+    front = F.array_join(F.slice("ls", 2, F.greatest(T.front_matter_lines(F.col("ls")) - 2, F.lit(0))), "\n")
+    found = cut.select(*keep, F.explode(F.array(front)).alias("front"))
+    return found.select(*keep, F.explode(F.array(F.struct(*(front_value(F.col("front"), n).alias(n) for n in names)))).alias("x")).select(*keep, "x.*")
 
 
 def aliases(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import written
 
 K1, B = 1.2, 0.75
 #: What replaces the weight of a word that stands in half of a directory's documents or more.
@@ -21,15 +22,17 @@ def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, directory, doc, score) of every document that holds a word of the question.
 
     documents: (directory, doc, text), null texts as empty. Each text is cut to
-    words once, and counts are made map-side before anything is shuffled. Words
+    words once, counts are made map-side before anything is shuffled, and the
+    postings, which three joins use, are written to the shared folder. Words
     meet prefixes among a directory's distinct words only, by their first two
     characters as a hash key, not by comparing all with all.
     """
-    counted = (
+    counted = written(
         documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("words"))
         .select("directory", "doc", F.size("words").alias("length"), F.explode_outer("words").alias("word"))
         .groupBy("directory", "doc", "length", "word")
-        .agg(F.count("word").alias("tf"))
+        .agg(F.count("word").alias("tf")),
+        "postings",
     )
     held = counted.select("directory", "doc", "length").distinct().groupBy("directory").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     wanted = question_words(questions)
