@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entries, graph, incremental, index, search, streams
+from . import entries, graph, incremental, index, search, streams, tracing
 
-_PARTS = (incremental, search, entries, graph, index, streams)
+_PARTS = (incremental, search, entries, graph, index, streams, tracing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
