@@ -189,4 +189,21 @@ FROM x FULL JOIN y ON x.directory = y.directory AND x.relative_path = y.relative
     "timeline": f"""WITH {_ENTRIES} SELECT string_split(directory, '/')[1] AS vault, CAST(row_number() OVER (PARTITION BY string_split(directory, '/')[1] ORDER BY moment, doc_id, line_no) AS INTEGER) AS nth,
        moment, doc_id, CAST(line_no AS INTEGER) AS line_no, author FROM entries WHERE moment IS NOT NULL""",
     "session_transcript": f"WITH {_ENTRIES} SELECT doc_id, count(*) AS turns, md5(string_agg('## ' || author || chr(10) || chr(10) || said, chr(10) || chr(10) ORDER BY line_no)) AS transcript_md5 FROM entries GROUP BY doc_id",
+    "citation_pointers": f"""WITH {S.LINES}, kept AS (
+  SELECT doc_id, i, line, starts_with(line, '>') AS quoted, nullif(lower({S.strip(f"regexp_extract(line, '^>[{S.WS}]*\\[!([^\\]]+)\\][-+]?', 1)")}), '') AS kind FROM ls WHERE length({S.strip('line')}) > 0
+), steps AS (
+  SELECT *, CASE WHEN kind IS NOT NULL OR NOT quoted OR coalesce(i - lag(i) OVER w > 1, true) OR NOT coalesce(lag(quoted) OVER w, false) THEN 1 ELSE 0 END AS opens FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), blocks AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS block FROM steps
+), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS nth FROM blocks),
+joined AS (
+  SELECT doc_id, block, min(i) AS first_at, max(CASE WHEN nth = 1 THEN kind END) AS kind, max(CASE WHEN nth = 1 THEN line END) AS head, bool_and(quoted) AS quoted,
+         string_agg({S.strip("regexp_replace(line, '^>', '')")}, ' ' ORDER BY i) AS said, coalesce(string_agg(CASE WHEN nth > 1 THEN line END, chr(10) ORDER BY i), '') AS tail
+  FROM placed GROUP BY doc_id, block
+), seen AS (
+  SELECT *, CASE WHEN lag(quoted) OVER w AND lag(kind) OVER w IS NULL THEN lag(said) OVER w ELSE '' END AS above FROM joined WINDOW w AS (PARTITION BY doc_id ORDER BY block)
+), read AS (SELECT *, regexp_replace(above, '^[«»"'' ]+|[«»"'' ]+$', '', 'g') AS bare, regexp_replace(tail, '{C.ORIGINAL}', '', 'g') AS reading FROM seen WHERE kind = 'source')
+SELECT doc_id, CAST(first_at AS INTEGER) AS line, md5(CASE WHEN bare <> '' THEN bare ELSE above END) AS quote_md5,
+       regexp_replace(regexp_replace(head, '(?i)^>[^\\S\\n]*\\[!source\\][-+]?[^\\S\\n]*', ''), '^[ ·—\\-,]+|[ ·—\\-,]+$', '', 'g') AS author,
+       nullif(trim(regexp_extract(reading, '{C.POINTER}', 1)), '') AS path, regexp_extract(reading, '{C.POINTER}', 2) AS locator FROM read""",
 }
