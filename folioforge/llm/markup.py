@@ -5,16 +5,19 @@ elements by their path, wiki and LaTeX constructs by their kind. The nodes of
 all texts of one host (here: directory) are merged to a style tree. A place in
 the tree is important if what stands there differs from page to page: its
 importance is the entropy of presentation and content over the pages that have
-it, against the greatest possible. Branches of low importance, the same on many
-pages, are removed from each page; the rest is rendered with headings, lists,
-tables, code and formulas kept.
+it, each branch's part against a fixed base, so that it does not change with
+the number of pages. Blocks at places of low importance that a good part of the
+host's pages share are removed from each page; the rest is rendered with
+headings, lists, tables, code and formulas kept. Inline elements, breaks,
+entities, formulas and wiki and LaTeX constructs are never removed as noise.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
 import pyarrow as pa
@@ -24,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, rows_of, small_batches, written
 
-#: A branch is noise if so many pages of the host have it and its place is less important than this.
+#: A block is noise if so many pages of the host have it, at least this share of its pages with blocks, and its place is less important than this.
 MIN_PAGES = 12
+SHARE = 0.5
 IMPORTANCE = 0.2
+#: A branch that one page in so many has, or fewer, counts as wholly different.
+BASE = 12
 
 # The names of HTML elements, current and obsolete.
 ELEMENTS = frozenset(
@@ -36,6 +42,8 @@ ELEMENTS = frozenset(
     "q rp rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that can be a page's frame. Headings, cells, items and code are parts of what stands around them; html, body and main are the page.
+BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form header hgroup menu nav ol p section table ul".split())
 # Namespaces of file and category links, and magic words.
 NAMESPACES = "Fichier|File|Image|Média|Media|Catégorie|Category|Modèle|Template|Portail|Portal"
 MAGIC = "TOC|NOTOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NONEWSECTIONLINK|NOGALLERY|HIDDENCAT|NOCONTENTCONVERT|NOTITLECONVERT|INDEX|NOINDEX|STATICREDIRECT|NOGLOBAL|SOMMAIRE|AUCUNSOMMAIRE|SOMMAIREFORCÉ|SECTIONNONEDITABLE|CATCACHEE"
@@ -51,6 +59,7 @@ _TICKS = re.compile(r"(?<!`)(`+)(?!`)((?:(?!\n[ \t\r]*\n)[\s\S])*?)(?<!`)\1(?!`)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?=[\s/>])[^<>]*)>")
 _COMMENT = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|<!DOCTYPE[^>]*>", re.IGNORECASE)
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_BREAK = re.compile(r"<(?:br|hr|wbr)\b[^<>]*>", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|style|align|bgcolor|width|color)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
 _TEMPLATE = re.compile(r"\{\{\{?([^{}|\n]+)((?:\|[^{}]*)?)\}\}\}?")
@@ -109,13 +118,17 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(text.split()).lower()) - (1 << 63)
 
 
-def html_nodes(text: str) -> Iterator[tuple[str, str, int, int, int]]:
-    """(path, presentation, start, end, content digest) of each element, comment and entity of a text without code."""
+def html_nodes(text: str, back: Callable[[str], str] = str) -> Iterator[tuple[str, str, int, int, int]]:
+    """(path, presentation, start, end, content digest) of each element, comment and entity of a text without code.
+
+    An element's content is told apart with its code put back; without any, its digest is 0.
+    """
     stack: list[tuple[str, str, str, int, int]] = []
 
     def close(node: tuple[str, str, str, int, int], end: int, inner_end: int) -> tuple[str, str, int, int, int]:
         _, path, look, start, inner = node
-        return path, look, start, end, _digest(text[inner:inner_end])
+        content = text[inner:inner_end]
+        return path, look, start, end, _digest(back(content)) if _BREAK.sub("", content).strip() else 0
 
     if "<" in text:
         for m in _TAG.finditer(text):
@@ -187,19 +200,20 @@ def latex_nodes(text: str) -> Iterator[tuple[str, str, int, int, int]]:
 KINDS = (("html", html_nodes), ("wiki", wiki_nodes), ("latex", latex_nodes))
 
 
-def nodes(text: str) -> list[tuple[str, str, str, int, int, int]]:
-    """(markup, path, presentation, start, end, content digest) in a text whose code is taken out."""
-    return [(kind, *n) for kind, find in KINDS for n in find(text)]
+def nodes(text: str, back: Callable[[str], str] = str) -> list[tuple[str, str, str, int, int, int]]:
+    """(markup, path, presentation, start, end, content digest) in a text whose code is taken out; back puts it in again."""
+    return [(kind, *n) for kind, find in KINDS for n in (find(text, back) if kind == "html" else find(text))]
 
 
 # Rendering: each step takes text without code, and returns it without its kind of markup.
 
 
 def _drop(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these blocks; what stood around one stays apart."""
     out, at = [], 0
     for a, b in sorted(spans):
         if a >= at:
-            out.append(text[at:a])
+            out += [text[at:a], "\n\n"]
             at = b
         else:
             at = max(at, b)
@@ -407,7 +421,8 @@ def markup_nodes(items: DataFrame) -> DataFrame:
             for table, key, host, text in rows_of(batch, "item_table", "item_id", "host", "text"):
                 if not text:
                     continue
-                for i, (kind, path, look, _, _, content) in enumerate(nodes(Code(text).text)):
+                code = Code(text)
+                for i, (kind, path, look, _, _, content) in enumerate(nodes(code.text, code.back)):
                     for c, v in zip(out, (table, key, host, i, kind, path, look, content), strict=True):
                         c.append(v)
             yield batch_of(_NODES, out)
@@ -415,20 +430,38 @@ def markup_nodes(items: DataFrame) -> DataFrame:
     return items.select("item_table", "item_id", "host", "text").mapInArrow(run, NODES)
 
 
+_PLACE = ("host", "markup", "path")
+_BRANCH = (*_PLACE, "look", "content")
+
+
+def _branches(found: DataFrame) -> DataFrame:
+    """Branches with the pages that hold them and the nodes there; a page is an (item_table, item_id), however many rows repeat it."""
+    return found.groupBy(*_BRANCH, "item_table", "item_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*_BRANCH).agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("nodes"))
+
+
 def style_tree(found: DataFrame) -> DataFrame:
-    """Places (host, markup, path) with the nodes there and their importance from 0 (all alike) to 1 (all different)."""
+    """Places (host, markup, path) with the nodes there and their importance from 0 (all alike) to 1 (all different).
 
-    def entropy(*by: str) -> DataFrame:
-        m, h = F.sum("n"), F.sum(F.col("n") * F.log("n"))
-        return found.groupBy("host", "markup", "path", *by).agg(F.count(F.lit(1)).alias("n")).groupBy("host", "markup", "path").agg(m.alias("nodes"), F.when(m > 1, (F.log(m) - h / m) / F.log(m)).otherwise(1.0).alias("importance"))
+    The mean of -log(share of the branch), in units of log(BASE) and 1 at most:
+    equal shares give equal importance, whatever the number of pages.
+    """
+    branches = _branches(found)
+    whole = branches.groupBy(*_PLACE).agg(F.sum("pages").alias("all"))
+    part = F.col("pages") / F.col("all")
+    apart = F.sum(part * F.least(F.lit(1.0), -F.log(part) / math.log(BASE)))
+    return branches.join(whole, [*_PLACE]).groupBy(*_PLACE).agg(F.sum("nodes").alias("nodes"), F.when(F.first("all") > 1, apart).otherwise(1.0).alias("importance"))
 
-    return entropy("look", "content")
 
+def noise(found: DataFrame, tree: DataFrame, min_pages: int = MIN_PAGES, importance: float = IMPORTANCE, share: float = SHARE) -> DataFrame:
+    """Branches (host, markup, path, look, content) of blocks with content that many of a host's pages share at a place of low importance.
 
-def noise(found: DataFrame, tree: DataFrame, min_pages: int = MIN_PAGES, importance: float = IMPORTANCE) -> DataFrame:
-    """Branches (host, markup, path, look, content) that many pages share at a place of low importance."""
-    shared = found.groupBy("host", "markup", "path", "look", "content").agg(F.approx_count_distinct("item_id").alias("pages")).where(F.col("pages") >= min_pages)
-    return shared.join(tree.where(F.col("importance") < importance).select("host", "markup", "path"), ["host", "markup", "path"]).drop("pages")
+    Shares are of the host's pages that have any such block: plain notes in the
+    same directory have no frame, and say nothing about it.
+    """
+    blocks = found.where((F.col("markup") == "html") & F.element_at(F.split("path", ">"), -1).isin(*sorted(BLOCKS)) & (F.col("content") != 0))
+    held = blocks.select("host", "item_table", "item_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    shared = _branches(blocks).where(F.col("pages") >= min_pages).join(held, "host").where(F.col("pages") >= share * F.col("all")).select(*_BRANCH)
+    return shared.join(tree.where(F.col("importance") < importance).select(*_PLACE), [*_PLACE])
 
 
 def found_markup(items: DataFrame) -> DataFrame:

@@ -86,6 +86,34 @@ def test_style_tree_removes_what_all_pages_share(spark):
     assert all("Menu" not in r.clean and r.clean and r.removed_branches == 1 for r in rows)
 
 
+def test_style_tree_keeps_content_at_any_size(spark):
+    """Breaks, entities and commands of bounded variety stay; a frame goes, at 24 pages and at 600."""
+    held = markup.clean_text(r"\documentclass{article}\begin{tabular}{lr}a & b\end{tabular}")
+    for n in (24, 600):
+        rng = random.Random(n)
+        pages = [
+            f"<div>Menu</div><p>rapport.<br>L'absence de {sentence(rng, 5)} &lt;&nbsp;x</p><section>{'oui' if i % 2 else 'non'}</section><aside>`c{i}`</aside>"
+            if i % 4
+            else r"\documentclass{article}\begin{tabular}{lr}a & b\end{tabular}"
+            for i in range(n)
+        ]
+        df = docs(spark, *pages, *pages[:13])
+        both = markup.items_of(df, "documents", "doc_id", "term", "text")
+        rows = [r for r in markup.clean_items(both).collect() if r.item_id < n]
+        framed = [r for r in rows if r.item_id % 4]
+        assert all(r.removed_branches == 1 and "Menu" not in r.clean and "rapport.\nL'absence" in r.clean and "<\xa0x" in r.clean for r in framed)
+        assert all(("oui" if r.item_id % 2 else "non") in r.clean and f"`c{r.item_id}`" in r.clean for r in framed)
+        assert {r.clean for r in rows if not r.item_id % 4} == {held}
+
+
+def test_style_tree_counts_pages_exactly(spark):
+    pages = ["<div>Menu</div>"] * 11
+    one = markup.items_of(docs(spark, *pages, *pages, ids=[*range(11)] * 2), "documents", "doc_id", "term", "text")
+    assert all(r.removed_branches == 0 for r in markup.clean_items(one).collect())
+    other = markup.items_of(docs(spark, pages[0], ids=[0]), "markdown_chunks", "doc_id", "term", "text")
+    assert all(r.removed_branches == 1 for r in markup.clean_items(one.unionByName(other)).collect())
+
+
 # 4: neighbours
 
 
