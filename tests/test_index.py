@@ -1,6 +1,8 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge import api
 from folioforge.operators import semantic as V
@@ -29,6 +31,27 @@ def test_ties_nulls_and_lengths(spark):
     assert [(r.ord, r.score) for r in best] == [(0, 1.0), (1, 1.0), (5, 1.0), (3, 0.0), (6, 0.0)]
 
 
+def test_more_queries_than_a_block(spark):
+    """No number of queries is refused: 10,001 of them over two directories, more than one block of each."""
+    angle = lambda a: [math.cos(a), math.sin(a)]
+    rows = spark.createDataFrame([(f"d{i % 2}", f"p{i // 4}", "s", i, angle(i / 3000)) for i in range(4600)], "directory string, path string, section string, ord long, vector array<float>")
+    many = spark.range(10_001).selectExpr("id as query", "array(float(cos(id % 4600 / 3000)), float(sin(id % 4600 / 3000))) as vector")
+    best = V.ranked(rows, many, 2).cache()
+    assert best.count() == 10_001 * 2 * 2 and best.select("query", "directory").distinct().count() == 10_001 * 2
+    x = np.array([angle(i / 3000) for i in range(4600)], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for q in (0, 17, 2301, 9999):
+        s = (x @ x[q % 4600]).round(4)
+        for d in (0, 1):
+            of = {}
+            for i in sorted(range(d, 4600, 2), key=lambda i: (-s[i], i)):
+                of.setdefault(i // 4, (i, s[i]))
+            want = sorted(of.values(), key=lambda v: (-v[1], v[0]))[:2]
+            assert [(r.ord, r.score) for r in best.where(f"query = {q} and directory = 'd{d}'").orderBy("rank").collect()] == want
+    one = V.ranked(rows, many.withColumn("directory", F.lit("d1")), 2)
+    assert one.exceptAll(best.where("directory = 'd1'")).count() == 0 and one.count() == 10_001 * 2
+
+
 def test_contract(spark):
     meta = spark.createDataFrame([("a", "p", "m", 64, 1), ("b", "p", "m2", 64, 1), ("c", "p", "m", 64, 2)], "directory string, provider string, model string, dimension int, version int")
     assert V.require_contract(meta, ["a"]) == {"provider": "p", "model": "m", "dimension": 64}
