@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import graph as G
 from folioforge.operators import tracing as R
+from folioforge.plans import tracing
 
 
 def test_occurrences(spark):
@@ -36,3 +37,13 @@ def test_waves(spark):
     found = [["a", "b"], ["b", "c"], ["c", "a"], ["d"]]
     search = lambda n: spark.createDataFrame([(x, 1.0) for x in found[n]], "path string, score double")
     assert sorted((r.path, r.wave) for r in R.waves(search, F.col("score") > 0.5).collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_living_duplicates_cross_the_indexes(spark, tmp_path):
+    """No id is divisible by 100, and the pair lies in two indexes; other layers and vaults take no part."""
+    places = [("v/wiki/concepts", "docker.md"), ("v/wiki/entites", "conteneurs.md"), ("v/wiki/concepts", "a.md"), ("v/wiki/concepts", "b.md"), ("v/wiki/entites", "c.md"), ("v/wiki/sources", "d.md"), ("w/wiki/entites", "e.md")]
+    vectors = [[1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.1], [0.0, 0.0, 1.0], [1.0, 0.0, 0.0], [1.0, 0.0, 0.0]]
+    rows = [(101 + i, d, p, "s", v) for i, ((d, p), v) in enumerate(zip(places, vectors, strict=True))]
+    spark.createDataFrame(rows, "stored_id long, directory string, path string, section string, vector array<float>").write.parquet(f"{tmp_path}/index_chunks.parquet")
+    got = {(r.stored_id, r.other_id) for r in tracing.near_duplicate_living_pages(spark, str(tmp_path)).collect()}
+    assert {(101, 102), (102, 101), (103, 104), (104, 103)} <= got and not {106, 107} & {x for pair in got for x in pair}
