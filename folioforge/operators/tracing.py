@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import written
 from .citations import fragments
 from .graph import fronts
 
@@ -71,17 +73,19 @@ def merge_actions(same: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(gone, ["vault", "name"]).select("doc_id", "raw", F.concat(F.lit("[["), F.col("kept"), F.lit("|"), F.when(shown != "", shown).otherwise(F.col("name")), F.lit("]]")).alias("replacement"))
 
 
-def waves(search: Callable[[int], DataFrame], keep: Column, most: int = 20) -> DataFrame:
+def waves(search: Callable[[int], DataFrame], keep: Column) -> DataFrame:
     """References (path, ...) gathered wave after wave until one brings no new path; wave numbers from 0.
 
     search(n) gives the n-th wave; keep says which of its rows count. Each wave
     is small (its own top k), and only the number of new paths comes to the driver.
+    There is no bound on the waves: what was kept is written, so plans stay short.
     """
     kept: DataFrame | None = None
-    for n in range(most):
+    for n in itertools.count():
         wave = search(n).where(keep).dropDuplicates(["path"]).withColumn("wave", F.lit(n))
         if kept is not None:
             wave = wave.join(kept.select("path"), "path", "left_anti").select(*kept.columns)
+        wave = written(wave, "wave")
         if not wave.limit(1).count():
             break
         kept = wave if kept is None else kept.unionByName(wave)

@@ -39,6 +39,12 @@ def test_waves(spark):
     assert sorted((r.path, r.wave) for r in R.waves(search, F.col("score") > 0.5).collect()) == [("a", 0), ("b", 0), ("c", 1)]
 
 
+def test_waves_have_no_bound(spark):
+    """The 23rd wave still brings a path, and the 24th none."""
+    search = lambda n: spark.createDataFrame([(f"p{min(n, 22)}", 1.0)], "path string, score double")
+    assert sorted((r.wave, r.path) for r in R.waves(search, F.col("score") > 0.5).collect()) == [(n, f"p{n}") for n in range(23)]
+
+
 def test_living_duplicates_cross_the_indexes(spark, tmp_path):
     """No id is divisible by 100, and the pair lies in two indexes; other layers and vaults take no part."""
     places = [("v/wiki/concepts", "docker.md"), ("v/wiki/entites", "conteneurs.md"), ("v/wiki/concepts", "a.md"), ("v/wiki/concepts", "b.md"), ("v/wiki/entites", "c.md"), ("v/wiki/sources", "d.md"), ("w/wiki/entites", "e.md")]
