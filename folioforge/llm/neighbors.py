@@ -26,8 +26,10 @@ K = 10
 SAMPLE_ROWS = 40_000
 #: Most cells; their number is the square root of the number of vectors.
 MOST_CELLS = 65_536
-#: Cells that a query scans when near copies are asked for, and when all neighbours are.
-PROBES_NEAR, PROBES_ALL = 3, 64
+#: Cells that a query scans when near copies are asked for, and at least when all neighbours are.
+PROBES_NEAR, PROBES_ALL = 3, 96
+#: When all neighbours are asked for, a query scans so many times the square root of the number of cells.
+PROBES_GROWTH = 5
 #: A cell's vectors are split into blocks of about so many.
 BLOCK_ROWS = 8192
 #: Best codes of a scan that are scored exactly, as a multiple of k.
@@ -257,11 +259,17 @@ def trained_index(vectors: DataFrame, total: int, dimension: int = DIMENSION, sa
     return Index.train(np.frombuffer(b"".join(got), np.float32).reshape(-1, dimension), max(1, min(MOST_CELLS, math.isqrt(total))))
 
 
-def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int = PROBES_ALL, min_cosine: float | None = None, asking: str | None = None, dimension: int = DIMENSION) -> DataFrame:
+def probes_of(cells: int) -> int:
+    """Cells that a query for all neighbours scans: more in larger indexes, whose cells hold a smaller part of a neighbourhood each."""
+    return max(PROBES_ALL, math.ceil(PROBES_GROWTH * math.sqrt(cells)))
+
+
+def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int | None = None, min_cosine: float | None = None, asking: str | None = None, dimension: int = DIMENSION) -> DataFrame:
     """(id, neighbor, cosine, rank): up to k nearest other rows of every row, approximately.
 
-    asking: a condition on id that says which rows ask; all rows answer. With
-    min_cosine less similar neighbours are left out, as one that isn't left out
+    asking: a condition on id that says which rows ask; all rows answer.
+    probes: cells that each scans, by default what probes_of gives. With min_cosine
+    less similar neighbours are left out, as one that isn't left out
     is outranked only by such. Rows with a null id, and vectors that are null,
     of another dimension, without a non-zero or with a non-finite element take
     no part. Equal vectors are searched once: a row's own copies come first, by
@@ -292,7 +300,8 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int = PRO
         .where(F.col("r") <= k + 1)
         .select("class", F.col("id").alias("member"))
     )
-    best = _ranked(_searched(classes, index, total, k, probes, min_cosine), k).drop("rank")
+    scanned = probes_of(len(index.centroids)) if probes is None else probes
+    best = _ranked(_searched(classes, index, total, k, scanned, min_cosine), k).drop("rank")
     return _expanded(written(best, "nearest"), members, least, k, asking)
 
 

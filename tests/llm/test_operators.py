@@ -147,6 +147,11 @@ def test_neighbours_against_brute_force(spark):
     assert neighbors.nearest(df.limit(0), "stored_id", "vector").count() == 0
 
 
+def test_probes_grow_with_the_cells():
+    """No fewer than 96, and more from 370 cells on."""
+    assert [neighbors.probes_of(n) for n in (1, 124, 394, 1249, 3950)] == [96, 96, 100, 177, 315]
+
+
 def test_quantisation_scan_is_close():
     rng = np.random.default_rng(2)
     x = neighbors.unit(rng.normal(size=(800, 64)))
