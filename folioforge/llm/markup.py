@@ -62,7 +62,7 @@ _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31
 _BREAK = re.compile(r"<(?:br|hr|wbr)\b[^<>]*>", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|style|align|bgcolor|width|color)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 
-_TEMPLATE = re.compile(r"\{\{\{?([^{}|\n]+)((?:\|[^{}]*)?)\}\}\}?")
+_TEMPLATE = re.compile(r"\{\{(\{)?(?:[^\S\n]*+\n\s*+)?([^{}|\n]++)(?:\n\s*+)?((?:\|[^{}]*+)?)\}\}(?(1)\})")
 _WIKI_HEADING = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t\r]*$", re.MULTILINE)
 _QUOTES = re.compile(r"(?<!')('{2,5})(?!')([^\n]+?)(?<!')\1(?!')")
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*(?:\n(?![ \t]*\|\})[^\n]*)*(?:\n[ \t]*\|\}[^\n]*)?", re.MULTILINE)
@@ -164,7 +164,7 @@ def html_nodes(text: str, back: Callable[[str], str] = str) -> Iterator[tuple[st
 def wiki_nodes(text: str) -> Iterator[tuple[str, str, int, int, int]]:
     if "{{" in text:
         for m in _TEMPLATE.finditer(text):
-            yield f"{{{{{m[1].strip().lower()}", "", m.start(), m.end(), _digest(m[2])
+            yield f"{{{{{m[2].strip().lower()}", "", m.start(), m.end(), _digest(m[3])
     if "=" in text:
         for m in _WIKI_HEADING.finditer(text):
             yield m[1], "", m.start(), m.end(), _digest(m[2])
@@ -367,7 +367,7 @@ def _unwiki(text: str) -> str:
         return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
     def template(m: re.Match) -> str:
-        values = [v.partition("=")[2] or v for v in m[2].split("|")[1:]]
+        values = [v.partition("=")[2] or v for v in m[3].split("|")[1:]]
         return ", ".join(v.strip() for v in values if v.strip())
 
     def link(m: re.Match) -> str:
@@ -375,10 +375,9 @@ def _unwiki(text: str) -> str:
         return parts[-1].strip() if len(parts) > 1 and m[1].lower() in ("fichier", "file", "image", "média", "media") else ""
 
     text = _WIKI_TABLE.sub(tbl, text)
-    for _ in range(4):
+    n = 1
+    while n:  # from the innermost out; each takes braces away
         text, n = _TEMPLATE.subn(template, text)
-        if not n:
-            break
     text = _WIKI_HEADING.sub(heading, text)
     text = _QUOTES.sub(lambda m: {2: "*", 3: "**"}.get(len(m[1]), "***") + m[2].strip() + {2: "*", 3: "**"}.get(len(m[1]), "***"), text)
     return _MAGIC.sub("", _WIKI_LINK.sub(link, text))

@@ -79,6 +79,13 @@ def test_clean_text():
     assert "# T" in tex and "- a" in tex and "$x_1$" in tex and "*b* (c)" in tex and "\\" not in tex
 
 
+def test_templates_over_lines_and_deep_nesting(spark):
+    texts = ["{{Infobox\n| nom = x\n| lieu = y\n}}", "{{\nNote \r\n |vu}}", "{{a|" * 9 + "z" + "}}" * 9]
+    items = markup.items_of(docs(spark, *texts), "documents", "doc_id", "term", "text")
+    assert {(r.item_id, r.markup) for r in markup.found_markup(items).collect()} == {(i, "wiki") for i in range(3)}
+    assert {r.item_id: r.clean for r in markup.clean_items(items).collect()} == {0: "x, y", 1: "vu", 2: "z"}
+
+
 def test_style_tree_removes_what_all_pages_share(spark):
     pages = [f"<div>Menu du site</div><p>{sentence(random.Random(i), 9)}</p>" for i in range(20)]
     items = markup.items_of(docs(spark, *pages), "documents", "doc_id", "term", "text")
