@@ -187,7 +187,7 @@ def latex_nodes(text: str) -> Iterator[tuple[str, str, int, int, int]]:
         for m in _COMMAND.finditer(text):
             name, behind = m[1] or m[2], text[m.end() : m.end() + 1]
             if behind in ("{", "[") or name in BARE and not behind.isalnum() and behind not in ("\\", "-", "_", "."):
-                yield f"\\{name}", "", m.start(), m.end(), _digest(text[m.end() : m.end() + 200].split("\n")[0])
+                yield f"\\{name}", "", m.start(), m.end(), _digest(text[m.end() : _arguments_end(text, m.end())])
     if "$" in text or "\\[" in text or "\\(" in text:
         for m in _DISPLAY.finditer(text):
             yield "$$", "", m.start(), m.end(), _digest(m[0])
@@ -290,6 +290,15 @@ def _argument(text: str, at: int) -> tuple[str, int]:
     return text[at + 1 :], len(text)
 
 
+def _arguments_end(text: str, at: int) -> int:
+    """The offset behind the bracketed and braced arguments that start at ``at``."""
+    while text[at : at + 1] == "[" and (shut := text.find("]", at)) > 0:
+        at = shut + 1
+    while text[at : at + 1] == "{":
+        at = _argument(text, at)[1]
+    return at
+
+
 _LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 _SHOWN = {"textbf": "**", "textit": "*", "emph": "*", "underline": "", "texttt": "`", "textsc": "", "text": "", "mbox": "", "textrm": "", "caption": "", "title": "# ", "author": "", "date": ""}
 _SILENT = frozenset("documentclass usepackage label ref cite citep citet pageref bibliographystyle bibliography input include vspace hspace setlength newcommand renewcommand includegraphics".split())

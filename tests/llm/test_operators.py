@@ -79,6 +79,15 @@ def test_clean_text():
     assert "# T" in tex and "- a" in tex and "$x_1$" in tex and "*b* (c)" in tex and "\\" not in tex
 
 
+def test_latex_content_is_the_whole_argument():
+    """Long arguments with one opening differ; what follows an argument does not count."""
+    same = "un long début " * 30
+    digest = lambda text: markup.nodes(text)[0][5]
+    assert digest(f"\\footnote{{{same}a}}") != digest(f"\\footnote{{{same}b}}")
+    assert digest("\\caption{un\n{deux}}") != digest("\\caption{un\n{trois}}")
+    assert digest("\\caption[c]{un} suite") == digest("\\caption[c]{un} autre")
+
+
 def test_templates_over_lines_and_deep_nesting(spark):
     texts = ["{{Infobox\n| nom = x\n| lieu = y\n}}", "{{\nNote \r\n |vu}}", "{{a|" * 9 + "z" + "}}" * 9]
     items = markup.items_of(docs(spark, *texts), "documents", "doc_id", "term", "text")
