@@ -69,7 +69,8 @@ def assigned_runs(records: DataFrame, runs: DataFrame, broadcast_runs: int = BRO
     """(key, version, run): all runs of a history at once; the run whose batch holds each pair.
 
     Every run's window is found, every record meets the runs that reread it,
-    and of a pair's runs the first is the one whose ledger does not hold it yet.
+    and of a pair's runs the first is the one whose ledger does not hold it yet:
+    this minimum stands in for the ledger and the anti-join of new_records.
     Both aggregations reduce before they shuffle, so that a key with a third of
     all records is spread. The runs are counted, and broadcast while few.
     """

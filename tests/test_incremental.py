@@ -70,3 +70,18 @@ def test_step_by_step_with_failures(spark):
 def test_empty(spark):
     f, r = spark.createDataFrame([], FEED), spark.createDataFrame([], RUNS)
     assert I.build_batches(f, r).count() == 0
+
+
+def test_replay_equals_the_ledger(spark):
+    """The minimum over runs, which has no ledger, gives what window, distinct pairs and anti-join give run by run."""
+    rng = random.Random(8)
+    feed = [("d", rng.choice("abcdefghij") * rng.randint(1, 4), hours(x - rng.randint(0, 15)), hours(x)) for x in (rng.randint(0, 60) for _ in range(80))]
+    f = spark.createDataFrame([(*r, "k", 1) for r in feed], FEED)
+    records, last, want = I.feed_records(f).cache(), None, set()
+    starts = [12, 25, 38, 51]
+    for run, start in enumerate(starts):
+        ledger = spark.createDataFrame([("d", v) for _, v in want], "key string, version string")
+        want |= {(run, r.version) for r in I.new_records(records, ledger, None if last is None else F.lit(hours(last)), F.lit(hours(start))).collect()}
+        last = start
+    runs = spark.createDataFrame([(i, "d", hours(s), "ok", "k") for i, s in enumerate(starts)], RUNS)
+    assert {tuple(x) for x in I.build_batches(f, runs).collect()} == want and len({run for run, _ in want}) == len(starts)
