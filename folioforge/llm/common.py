@@ -7,7 +7,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.staging import written as written
 from ..sources.tables import table as table
@@ -43,3 +44,8 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def drawn(key: str, share: float, purpose: str) -> Column:
+    """Whether a row is in a sample of this share of all rows, by 63 bits of a hash of its key: any share of any number of rows can be drawn."""
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(purpose)), 1) < F.lit(min(int(share * 2**63), 2**63 - 1))

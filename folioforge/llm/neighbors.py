@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches, written
+from .common import batch_of, drawn, small_batches, written
 
 DIMENSION = 64
 K = 10
@@ -250,10 +250,7 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def trained_index(vectors: DataFrame, total: int, dimension: int = DIMENSION, sample_rows: int = SAMPLE_ROWS) -> Index | None:
     """An index fitted on a sample of at most about sample_rows vectors, chosen by a hash of the id; None without vectors."""
-    drawn = vectors
-    if total > sample_rows:
-        drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < int(sample_rows / total * 1_000_000))
-    got = drawn.orderBy("id").select("vector").toArrow().column(0).to_pylist()
+    got = vectors.where(drawn("id", sample_rows / max(total, 1), "train")).orderBy("id").select("vector").toArrow().column(0).to_pylist()
     if not got:
         return None
     return Index.train(np.frombuffer(b"".join(got), np.float32).reshape(-1, dimension), max(1, min(MOST_CELLS, math.isqrt(total))))
@@ -279,7 +276,7 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int | Non
     names.
     """
     spark = df.sparkSession
-    rows = usable_vectors(df, item, vector, dimension)
+    rows = written(usable_vectors(df, item, vector, dimension), "vectors")
     keyed = rows.select("id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
     classes = keyed.groupBy("h1", "h2").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("id"), F.count("id").alias("n"), F.max(F.expr(asking) if asking else F.lit(True)).alias("asks"))
     total = rows.count()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encode, leak, markup, neardup, neighbors, ocr, repeat, split, terms
-from .common import table
+from .common import table, written
 from .sql import ORACLE
 
 MIN_COSINE = 0.92
@@ -52,14 +52,13 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = terms.term_scores(table(spark, sf_dir, "documents"), "doc_id", "text", min_tf=4, min_length=5, letters_only=True)
-    return scored.where(F.col("df").between(2, 8)).select("doc_id", "term").distinct()
+    return terms.distinctive_terms(table(spark, sf_dir, "documents"), "doc_id", "text", min_tf=4, min_df=2, max_df=8, min_length=5, letters_only=True)
 
 
 def p5_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted mixture of every term, one row for each of its counts."""
-    documents = table(spark, sf_dir, "documents")
-    return terms.term_model(terms.term_counts(documents, "doc_id", "text").where("doc_id is null"), documents.count())
+    counts = terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text").where("doc_id is null")
+    return terms.term_model(written(counts, "terms"))
 
 
 def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +104,18 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat.repetition(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_words", "n_runs", "n_distinct", F.round("repeated_share", 9).alias("repeated_share"))
 
 
+def p10_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated rule alone, as a check of what the controlled cutoffs give."""
+    return repeat.repetition(table(spark, sf_dir, "documents"), "doc_id", "text").where((F.col("n_words") >= repeat.MIN_WORDS) & (F.col("repeated_share") >= repeat.SHARE)).select("doc_id").distinct()
+
+
 def p10_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     holdout = repeat.labelled_holdout(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return repeat.controlled_cutoffs(holdout, "repeated_share", "rejectable", "stratum")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_pieces, p2_found, p2_clean, p4_found, p4_nearest, p5_found, p5_model, p6_found, p7_found, p7_text, p8_ids, p9_found, p9_passages, p10_found, p10_shares, p10_cutoffs)
+    every = (p1_found, p1_pieces, p2_found, p2_clean, p4_found, p4_nearest, p5_found, p5_model, p6_found, p7_found, p7_text, p8_ids, p9_found, p9_passages, p10_found, p10_shares, p10_rule, p10_cutoffs)
     return {f.__name__: f for f in every}
 
 

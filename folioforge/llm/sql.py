@@ -91,4 +91,4 @@ g AS (SELECT doc_id, {_grams(5)} AS g FROM d WHERE len(w) >= 40)
 SELECT doc_id FROM g WHERE 1 - CAST(len(list_distinct(g)) AS DOUBLE) / len(g) >= 0.30
 """
 
-ORACLE = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p9_found": P9, "p10_found": P10, "p10_shares": SHARES}
+ORACLE = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}

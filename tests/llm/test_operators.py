@@ -197,8 +197,27 @@ def test_terms(spark):
 
 def test_two_poisson_separates():
     tf, n = np.array([1.0, 2, 8, 10]), np.array([50.0, 10, 5, 5])
-    share, elite, other, score = terms.fit_two_poisson(np.zeros(4, int), tf, n, 1000)
-    assert elite[0] > 5 > other[0] and (np.diff(score) >= 0).all() and score[0] < 0.1 < 0.9 < score[3]
+    share, elite, other, score, converged = terms.fit_two_poisson(np.zeros(4, int), tf, np.zeros(4, int), n, np.ones(1), np.array([1000.0]))
+    assert elite[0] > 5 > other[0] and (np.diff(score) >= 0).all() and score[0] < 0.1 < 0.9 < score[3] and converged.all()
+    nothing = np.zeros(0)
+    assert all(len(x) == 0 for x in terms.fit_two_poisson(nothing.astype(int), nothing, nothing.astype(int), nothing, np.ones(1), np.array([5.0])))
+
+
+def test_length_weakens_a_count():
+    """Of two equal counts the one in the longer record is less likely to be elite."""
+    tf, at, n = np.array([1.0, 1, 5, 5, 6]), np.array([0, 1, 0, 1, 0]), np.array([60.0, 40, 4, 4, 9])
+    _, exposure, records = terms.exposures([(0, 800, 800 * 60), (1, 200, 200 * 600)])
+    *_, score, _ = terms.fit_two_poisson(np.zeros(5, int), tf, at, n, exposure, records)
+    assert score[2] > score[3] and exposure[1] > exposure[0]
+
+
+def test_only_elite_counts_are_distinctive(spark):
+    """Frequent everywhere counts little by weight; without the posterior no count would be chosen."""
+    df = docs(spark, *["partout " * 5 + f"mot{i}" for i in range(30)], "zirconium " * 5, "zirconium " * 4 + "fin")
+    assert {tuple(r) for r in terms.distinctive_terms(df, "doc_id", "text", 4, 1, 40).collect()} == {(30, "zirconium"), (31, "zirconium")} | {(i, "partout") for i in range(30)}
+    weight = {(r.doc_id, r.term): r.weight for r in terms.term_scores(df, "doc_id", "text", 4).collect()}
+    assert weight[0, "partout"] < 0.5 < 2 < weight[30, "zirconium"]
+    assert terms.distinctive_terms(df, "doc_id", "text", 4, 1, 40, elite=1.1).count() == 0
 
 
 # 6: near duplicates
@@ -368,9 +387,27 @@ def test_repetition(spark):
         w = words(t)
         grams = list(zip(*(w[k:] for k in range(5))))
         assert math.isclose(rows[i].repeated_share, 1 - len(set(grams)) / len(grams) if grams else 0.0)
-    want = {i for i, t in enumerate(texts) if rows[i].n_words >= 40 and rows[i].repeated_share >= 0.3}
-    assert {r.doc_id for r in repeat.repetitive(df, "doc_id", "text", "stratum").collect()} == want == {1}
-    assert repeat.repetitive(df.limit(0), "doc_id", "text", "stratum").count() == 0
+    assert rows[0].compressed is None and repeat.repetition(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_certified_cutoffs_decide(spark, monkeypatch):
+    """Rows above the stated share come out where labels made by other measures certify it, and nowhere else."""
+    rng = random.Random(3)
+    monkeypatch.setattr(repeat, "COMPRESSED", 0.0)
+    clean = [sentence(rng, 80) for _ in range(420)]
+    again = [sentence(rng, 30) + " " + "la même phrase revient toujours ici. " * rng.randint(8, 20) for _ in range(30)]
+    # repeated runs of words without sentences: these labels call them clean
+    odd = [sentence(rng, 3) + " " + sentence(rng, 25) * 3 for _ in range(40)]
+    rows = [(i, t, "a") for i, t in enumerate(clean + again)] + [(1000 + i, t, "b") for i, t in enumerate(clean[:370] + odd)] + [(2000, again[0], "c"), (2001, again[1], None), (2002, None, "c"), (None, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    cutoffs = {r.stratum: r for r in repeat.controlled_cutoffs(repeat.labelled_holdout(df, "doc_id", "text", "kind"), "repeated_share", "rejectable", "stratum").collect()}
+    assert cutoffs["a"].cutoff == 0.30 and cutoffs["a"].bound <= repeat.RISK
+    assert cutoffs["b"].cutoff is None or cutoffs["b"].cutoff > 0.30
+    got = {r.doc_id for r in repeat.repetitive(df, "doc_id", "text", "kind").collect()}
+    assert {i for i in got if i < 1000} == set(range(420, 450)) and not any(1000 <= i < 2000 for i in got)
+    few = df.where("doc_id < 40")
+    assert repeat.repetitive(few.unionByName(df.where("doc_id between 420 and 425")), "doc_id", "text", "kind").count() == 0
+    assert repeat.repetitive(df.limit(0), "doc_id", "text", "kind").count() == 0
 
 
 def test_exact_bounds_and_cutoffs(spark):
@@ -382,7 +419,10 @@ def test_exact_bounds_and_cutoffs(spark):
     df = spark.createDataFrame(rows, "stratum string, score double, label boolean")
     got = {r.stratum: r for r in repeat.controlled_cutoffs(df, "score", "label", "stratum", (0.3, 0.2, 0.1, 0.05)).collect()}
     assert got["a"].cutoff == 0.1 and got["a"].bound <= repeat.RISK
-    assert got["b"].cutoff == 0.3 and got["b"].bound > repeat.RISK and got[""].clean == 3
+    assert got["b"].cutoff == got[""].cutoff == got["*"].cutoff == 0.1 and got["b"].clean == 5 and got["*"].clean == 1008
+    wrong = spark.createDataFrame([("a", 0.9, False)] * 50 + [("a", 0.0, False)] * 950, "stratum string, score double, label boolean")
+    assert {r.cutoff for r in repeat.controlled_cutoffs(wrong, "score", "label", "stratum").collect()} == {None}
+    assert repeat.controlled_cutoffs(wrong.limit(0), "score", "label", "stratum").count() == 0
 
 
 def test_controlled_risk_holds():
