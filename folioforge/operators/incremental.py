@@ -5,7 +5,8 @@ loaded at another, and in between it is an open transaction. A run rereads the
 feed from the oldest transaction that was open at the last successful run, so
 none is skipped, and an anti-join of (key, version) pairs against a ledger of
 what was processed takes out what the overlap brings again, so none is
-repeated. Failed runs leave no trace: neither ledger nor window moves.
+repeated. Failed runs leave no trace: neither ledger nor window moves. A history
+of runs is replayed the same way, step by step over a ledger table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_path, written
+
 #: Runs are broadcast only while there are at most so many.
 BROADCAST_RUNS = 100_000
 
@@ -65,36 +68,60 @@ def new_records(records: DataFrame, ledger: DataFrame, last: Column | None, now:
     return readable.select("key", "version").distinct().join(ledger.select("key", "version"), ["key", "version"], "left_anti")
 
 
-def assigned_runs(records: DataFrame, runs: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
-    """(key, version, run): all runs of a history at once; the run whose batch holds each pair.
+def replayed_runs(records: DataFrame, runs: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """(key, version, run): a history of runs, run after run, each with what new_records gives it.
 
-    Every run's window is found, every record meets the runs that reread it,
-    and of a pair's runs the first is the one whose ledger does not hold it yet:
-    this minimum stands in for the ledger and the anti-join of new_records.
-    Both aggregations reduce before they shuffle, so that a key with a third of
-    all records is spread. The runs are counted, and broadcast while few.
+    The n-th successful runs of all keys make one step: their windows are read
+    again from the oldest transaction open at each key's last run, and what the
+    ledger holds is taken out by an anti-join; the rest is appended to the
+    ledger, a table in the shared folder, before the next step. There are as
+    many steps as the key with most runs has; of the feed a step reads only the
+    load times that its windows span. Records are reduced to distinct pairs
+    before they are shuffled, so that a key with a third of all records is
+    spread. The runs are counted, and broadcast while few.
     """
-    small = runs.count() <= broadcast_runs
-    side = F.broadcast(runs) if small else runs
-    open_then = (records["key"] == runs["key"]) & (records["opened"] <= runs["last"]) & (records["loaded"] > runs["last"])
-    oldest = records.join(side, open_then).groupBy(runs["key"].alias("key"), "run").agg(F.min("opened").alias("oldest"))
-    windows = runs.join(oldest, ["key", "run"], "left").select(F.col("key").alias("run_key"), "run", "started", F.coalesce("oldest", "last").alias("since"))
-    read = records.join(
-        F.broadcast(windows) if small else windows,
-        (F.col("key") == F.col("run_key")) & (F.col("loaded") <= F.col("started")) & (F.col("since").isNull() | (F.col("opened") >= F.col("since"))),
-    )
+    spark = records.sparkSession
+    numbered = written(runs.withColumn("step", F.row_number().over(Window.partitionBy("key").orderBy("started", "run"))), "runs")
+    size = numbered.agg(F.count(F.lit(1)).alias("runs"), F.max("step").alias("steps")).first()
+    few = (lambda side: F.broadcast(side)) if size["runs"] <= broadcast_runs else (lambda side: side)
+    # windows of all runs at once: one pass over the feed instead of one for each step
+    open_then = (records["key"] == numbered["key"]) & (records["opened"] <= numbered["last"]) & (records["loaded"] > numbered["last"])
+    oldest = records.join(few(numbered), open_then).groupBy(numbered["key"].alias("key"), "run").agg(F.min("opened").alias("oldest"))
+    windows = written(numbered.join(oldest, ["key", "run"], "left").select(F.col("key").alias("run_key"), "run", "step", "started", F.coalesce("oldest", "last").alias("since")), "windows")
+    spans = {r["step"]: r for r in windows.groupBy("step").agg(F.max("started").cast("string").alias("until"), F.min("since").cast("string").alias("since"), F.count("since").alias("bounded"), F.count(F.lit(1)).alias("all")).collect()}  # one row a step
+    ledger = new_path(spark, "ledger")
+    schema = "key string, version string, run long"
+    for step in range(1, (size["steps"] or 0) + 1):
+        span, window = spans[step], windows.where(F.col("step") == step)
+        moment = lambda x: F.lit(x).cast(records.schema["loaded"].dataType)
+        readable = records.where(F.col("loaded") <= moment(span["until"]))
+        if span["bounded"] == span["all"]:
+            readable = readable.where(F.col("loaded") >= moment(span["since"]))  # what was loaded before the window was opened before it
+        met = (F.col("key") == F.col("run_key")) & (F.col("loaded") <= F.col("started")) & (F.col("since").isNull() | (F.col("opened") >= F.col("since")))
+        batch = readable.join(few(window), met).select("key", "version", F.col("run").cast("long").alias("run")).distinct()
+        if step > 1:
+            batch = batch.join(spark.read.schema(schema).parquet(f"{ledger}/step=*").select("key", "version"), ["key", "version"], "left_anti")
+        batch.write.parquet(f"{ledger}/step={step}")
+    return spark.read.schema(schema).parquet(f"{ledger}/step=*") if size["steps"] else spark.createDataFrame([], schema)
+
+
+def earliest_runs(records: DataFrame, runs: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """(key, version, run): the check of a replay. A pair belongs to its key's first successful run that starts when a record of it is loaded."""
+    loaded = records.groupBy("key", "version").agg(F.min("loaded").alias("loaded"))
+    side = runs.select(F.col("key").alias("run_key"), "run", "started")
+    read = loaded.join(F.broadcast(side) if runs.count() <= broadcast_runs else side, (F.col("key") == F.col("run_key")) & (F.col("loaded") <= F.col("started")))
     return read.groupBy("key", "version").agg(F.min(F.struct("started", "run")).alias("first")).select("key", "version", "first.run")
 
 
 def build_batches(feed: DataFrame, reports: DataFrame) -> DataFrame:
     """(build_id, hash): what each successful build has to embed."""
-    return assigned_runs(feed_records(feed), successful_runs(reports)).select(F.col("run").alias("build_id"), F.col("version").alias("hash"))
+    return replayed_runs(feed_records(feed), successful_runs(reports)).select(F.col("run").alias("build_id"), F.col("version").alias("hash"))
 
 
 def build_totals(feed: DataFrame, reports: DataFrame) -> DataFrame:
     """(build_id, directory, embedded_chunks, reused_chunks) of every successful build: distinct hashes new to it, and those kept from before."""
     runs = successful_runs(reports)
-    new = assigned_runs(feed_records(feed), runs).groupBy("key", "run").agg(F.count(F.lit(1)).alias("embedded"))
+    new = replayed_runs(feed_records(feed), runs).groupBy("key", "run").agg(F.count(F.lit(1)).alias("embedded"))
     order = Window.partitionBy("key").orderBy("started", "run").rowsBetween(Window.unboundedPreceding, -1)
     joined = runs.join(new, ["key", "run"], "left").withColumn("embedded", F.coalesce("embedded", F.lit(0)))
     return joined.select(F.col("run").alias("build_id"), F.col("key").alias("directory"), F.col("embedded").alias("embedded_chunks"), F.coalesce(F.sum("embedded").over(order), F.lit(0)).alias("reused_chunks"))

@@ -44,7 +44,8 @@ def test_replay_against_definition(spark):
     want = naive(feed, runs)
     assert {tuple(x) for x in I.build_batches(f, r).collect()} == want
     records, good = I.feed_records(f), I.successful_runs(r)
-    assert {(x.run, x.version) for x in I.assigned_runs(records, good, broadcast_runs=0).select("run", "version").collect()} == want
+    for way in (I.replayed_runs, I.earliest_runs):
+        assert {(x.run, x.version) for x in way(records, good, broadcast_runs=0).select("run", "version").collect()} == want
     totals = {(t.build_id, t.directory): t for t in I.build_totals(f, r).collect()}
     assert sum(t.embedded_chunks for t in totals.values()) == I.build_batches(f, r).count()
 
@@ -73,7 +74,7 @@ def test_empty(spark):
 
 
 def test_replay_equals_the_ledger(spark):
-    """The minimum over runs, which has no ledger, gives what window, distinct pairs and anti-join give run by run."""
+    """The replay's ledger table gives what window, distinct pairs and anti-join give run by run."""
     rng = random.Random(8)
     feed = [("d", rng.choice("abcdefghij") * rng.randint(1, 4), hours(x - rng.randint(0, 15)), hours(x)) for x in (rng.randint(0, 60) for _ in range(80))]
     f = spark.createDataFrame([(*r, "k", 1) for r in feed], FEED)
@@ -85,3 +86,14 @@ def test_replay_equals_the_ledger(spark):
         last = start
     runs = spark.createDataFrame([(i, "d", hours(s), "ok", "k") for i, s in enumerate(starts)], RUNS)
     assert {tuple(x) for x in I.build_batches(f, runs).collect()} == want and len({run for run, _ in want}) == len(starts)
+
+
+def test_without_the_ledger_the_overlap_comes_twice(spark, monkeypatch):
+    """A late record widens the second run's window over what the first one took; only the anti-join keeps that from coming again."""
+    feed = [("d", "a", 5, 6), ("d", "late", 4, 25)]
+    f = spark.createDataFrame([(d, h, hours(s), hours(x), "k", 1) for d, h, s, x in feed], FEED)
+    runs = spark.createDataFrame([(1, "d", hours(10), "ok", "k"), (2, "d", hours(30), "OK", "k"), (3, "d", hours(20), "failed", "k")], RUNS)
+    assert sorted(tuple(x) for x in I.build_batches(f, runs).collect()) == [(1, "a"), (2, "late")]
+    join = type(f).join
+    monkeypatch.setattr(type(f), "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
+    assert sorted(tuple(x) for x in I.build_batches(f, runs).collect()) == [(1, "a"), (2, "a"), (2, "late")]
