@@ -299,6 +299,34 @@ def test_scans(spark):
     assert ocr.page_noise(df.limit(0), "response_id", "page_markdowns").count() == 0
 
 
+def test_scans_split_and_merge(spark):
+    """Words run together are cut, words with a blank too many joined, symbols read as letters; names and rare words stay."""
+    usual = " ".join(["le contrat prévoit une garantie pour chaque livraison du chantier"] * 60)
+    damaged = "Ici lecontrat pré voit une garan\ntie pour la livr@ison duchantier de Lecontrat. Le sous-\ntraitant zirconium garde 0n mail a@b."
+    rows = [(1, [usual, usual], "d"), (2, [usual, damaged], "d"), (3, ["le sous-traitant " * 40 + "on " * 40], "d")]
+    df = spark.createDataFrame(rows, "response_id long, page_markdowns array<string>, word string")
+    text = {r.response_id: r.text for r in ocr.repaired_responses(df, "response_id", "page_markdowns").collect()}[2]
+    assert text.endswith("Ici le contrat prévoit une garantie pour la livraison du chantier de Lecontrat. Le sous-traitant zirconium garde on mail a@b.")
+    assert {(r.page_ord, r.noise) for r in ocr.page_noise(df, "response_id", "page_markdowns").collect()} == {(1, "misread")}
+
+
+def test_readings_beyond_old_bounds():
+    """Any number of doubtful digits, words of two letters, running lines deep in a page."""
+    assert "bibliologies" in ocr.readings("6i6li0l09ie5") and ocr.doubtful("6i6li0l09ie5") and ocr.doubtful("0n")
+    assert "l" * 12 + "a" in ocr.readings("1" * 12 + "a") and not any(map(ocr.doubtful, ("CO2", "3rd", "A4", "12", "x")))
+    pages = [["Titre courant du rapport", "Service des archives", f"Volume trois", f"Imprimé à Lyon", "texte " + "abc"[k] * 9, "suite " + "xyz"[k] * 8, "fin " + "mno"[k], "a" + "pqr"[k], "b" + "stu"[k]] for k in range(3)]
+    running = ocr.Running(pages)
+    assert {i for p, i in running.header if p == 1} == {0, 1, 2, 3}
+
+
+def test_steady_numbers_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        spots = [(rng.randrange(12), rng.randrange(14)) for _ in range(rng.randrange(14))]
+        want = {(p, n) for p, n in spots if any(q != p and (v - n) * (q - p) >= 0 and abs(v - n) <= abs(q - p) and (v != n or abs(q - p) == 1) for q, v in spots)}
+        assert ocr.steady_numbers(spots) == want
+
+
 # 8: encoding
 
 
