@@ -302,11 +302,11 @@ def test_scans(spark):
 def test_scans_split_and_merge(spark):
     """Words run together are cut, words with a blank too many joined, symbols read as letters; names and rare words stay."""
     usual = " ".join(["le contrat prévoit une garantie pour chaque livraison du chantier"] * 60)
-    damaged = "Ici lecontrat pré voit une garan\ntie pour la livr@ison duchantier de Lecontrat. Le sous-\ntraitant zirconium garde 0n mail a@b."
+    damaged = "Ici lecontrat pré voit une garan\ntie pour la livr@ison duchantier de Leconseil. Le sous-\ntraitant zirconium garde 0n mail a@b."
     rows = [(1, [usual, usual], "d"), (2, [usual, damaged], "d"), (3, ["le sous-traitant " * 40 + "on " * 40], "d")]
     df = spark.createDataFrame(rows, "response_id long, page_markdowns array<string>, word string")
     text = {r.response_id: r.text for r in ocr.repaired_responses(df, "response_id", "page_markdowns").collect()}[2]
-    assert text.endswith("Ici le contrat prévoit une garantie pour la livraison du chantier de Lecontrat. Le sous-traitant zirconium garde on mail a@b.")
+    assert text.endswith("Ici le contrat prévoit une garantie pour la livraison du chantier de Leconseil. Le sous-traitant zirconium garde on mail a@b.")
     assert {(r.page_ord, r.noise) for r in ocr.page_noise(df, "response_id", "page_markdowns").collect()} == {(1, "misread")}
 
 
