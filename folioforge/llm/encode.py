@@ -4,8 +4,9 @@ The merges run as a streaming transducer. From the merge list alone a bound is
 computed on how far to the left of the last byte read a still unknown
 continuation can change anything: the sufficient lookahead. A token is emitted
 once it ends at least that far before the last byte read, so one run of bytes
-of any length needs a buffer of fixed size. Texts are cut into runs first, by
-the vocabulary's own pattern; short runs are looked up in a bounded cache.
+of any length needs a buffer of fixed size. Every text is fed to it in parts of
+fixed size: the vocabulary's own pattern cuts them into runs, of which the last
+few wait for what follows; short runs are looked up in a bounded cache.
 Decoding feeds bytes through an incremental UTF-8 state machine.
 """
 
@@ -185,9 +186,12 @@ class RunStream:
 
 
 class Encoder:
-    """Texts to ids: whole, or streamed in parts."""
+    """Texts to ids, each through the streaming transducer."""
 
+    #: Runs up to so many bytes, less than the lookahead of usual vocabularies, end before anything of them is stable: they wait for their end, and are looked up whole.
     LONG = 256
+    #: Characters that the transducer is fed at a time.
+    PART = 8192
 
     def __init__(self, merges: Merges, cached_runs: int = CACHED_RUNS):
         self.merges, self.most = merges, cached_runs
@@ -202,11 +206,19 @@ class Encoder:
         stream = RunStream(self.merges)
         return (*stream.feed(data), *stream.close())
 
-    def into(self, text: str, ids: array) -> None:
+    def runs(self, text: str) -> list[str]:
+        return self.patterns["run"].findall(text) if _ASTRAL.search(text) else self.narrow(text)
+
+    def ids(self, runs: list[str]) -> Iterator[int]:
         if len(self.cache) > self.most:
             self.cache.clear()
-        runs = self.patterns["run"].findall(text) if _ASTRAL.search(text) else self.narrow(text)
-        ids.extend(chain.from_iterable(map(self.cache.__getitem__, runs)))
+        return chain.from_iterable(map(self.cache.__getitem__, runs))
+
+    def into(self, text: str, ids: array) -> None:
+        stream, size = TextStream(self), self.PART
+        for at in range(0, len(text), size):
+            ids.extend(stream.feed(text if len(text) <= size else text[at : at + size]))
+        ids.extend(stream.close())
 
     def encode(self, text: str) -> list[int]:
         ids = array("i")
@@ -215,42 +227,77 @@ class Encoder:
 
     def stream(self, parts: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in parts; holds back only what a continuation could still change."""
-        held = ""
-        parts = iter(parts)
-        while (part := next(parts, None)) is not None:
-            held += part
-            found = list(self.patterns["run"].finditer(held))
-            for m in found[:-3]:
-                yield from self.run(m[0])
-            held = held[found[-3].start() :] if len(found) >= 3 else held
-            last = found[-1] if found else None
-            if last is not None and last.end() - last.start() > self.LONG:
-                start = len(held) - (last.end() - last.start())
-                for m in self.patterns["run"].finditer(held[:start]):
-                    yield from self.run(m[0])
-                held = yield from self._long(held[start:], parts)
-        for m in self.patterns["run"].finditer(held):
-            yield from self.run(m[0])
-
-    def _long(self, run: str, parts: Iterator[str]) -> Iterator[int]:
-        """Goes through one overlong run, and returns the text behind it that was read already."""
-        kind = next(k for k in ("letter", "number", "space", "other") if self.patterns[k].match(run, 1).end() > 1)
-        stream, keep = RunStream(self.merges), kind == "space"
-        kept, rest = (run[-1:], "") if keep else ("", "")
-        yield from stream.feed((run[:-1] if keep else run).encode())
+        stream = TextStream(self)
         for part in parts:
-            end = self.patterns[kind].match(part).end()
-            more = kept + part[:end]
-            kept = more[-1:] if keep else ""
-            yield from stream.feed((more[:-1] if keep else more).encode())
-            if end < len(part):
-                rest = part[end:]
-                break
-        else:
-            yield from stream.feed(kept.encode())
-            kept = ""
+            yield from stream.feed(part)
         yield from stream.close()
-        return kept + rest
+
+
+class TextStream:
+    """Ids of one text that comes in parts, in memory that depends on the parts' size only.
+
+    The last runs of what was read are held back, as a continuation can still
+    change where they are cut; a run that has become long goes on byte by byte.
+    """
+
+    HELD = 3
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.held = encoder, ""
+        self.long: RunStream | None = None
+        self.kind, self.kept = "", ""
+
+    def feed(self, part: str) -> Iterable[int]:
+        """The ids that became stable."""
+        out: list[int] = []
+        if self.long:
+            part = self._more(part, out)
+            if self.long:
+                return out
+        encoder = self.encoder
+        runs = encoder.runs(self.held + part)
+        tail = runs[-self.HELD :]
+        done = encoder.ids(runs[: -self.HELD])
+        self.held = "".join(tail)
+        if tail and len(tail[-1]) > encoder.LONG:
+            out += done
+            out += encoder.ids(tail[:-1])
+            self.held = ""
+            self._open(tail[-1], out)
+            return out
+        return chain(out, done) if out else done
+
+    def close(self) -> Iterable[int]:
+        out: list[int] = []
+        if self.long:
+            out += self.long.feed(self.kept.encode())
+            out += self.long.close()
+            self.long, self.kept = None, ""
+        out += self.encoder.ids(self.encoder.runs(self.held))
+        self.held = ""
+        return out
+
+    def _open(self, run: str, out: list[int]) -> None:
+        patterns = self.encoder.patterns
+        self.kind = next(k for k in ("letter", "number", "space", "other") if patterns[k].match(run, 1).end() > 1)
+        self.long = RunStream(self.encoder.merges)
+        self.kept = ""
+        self._take(run, out)
+
+    def _take(self, more: str, out: list[int]) -> None:
+        # the last blank of a run of blanks may belong to the word that follows
+        self.kept, more = (more[-1:], more[:-1]) if self.kind == "space" else ("", more)
+        out += self.long.feed(more.encode())
+
+    def _more(self, part: str, out: list[int]) -> str:
+        """Goes on through the long run; what follows it, with a blank held back, is what is left of the part."""
+        end = self.encoder.patterns[self.kind].match(part).end()
+        self._take(self.kept + part[:end], out)
+        if end == len(part):
+            return ""
+        out += self.long.close()
+        rest, self.long, self.kept = self.kept + part[end:], None, ""
+        return rest
 
 
 class _Runs(dict):

@@ -14,15 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, rows_of, small_batches, words
+from .common import batch_of, rows_of, small_batches, words, written
 
 SPAN = 13
 GRAM = 5
 #: Items are broadcast only while their texts have at most this many characters together.
 BROADCAST_CHARS = 32_000_000
+#: Beyond that, a mark with more rows than this is spread, and at most so many marks are.
+HOT_ROWS, HOT_MARKS = 50_000, 10_000
 
 HITS = "doc_id long, item_id long, doc_start int, item_start int, n_words int"
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())])
@@ -105,8 +107,8 @@ def leaked_passages(docs: DataFrame, doc_id: str, doc_text: str, items: DataFram
     ids and empty tables give no rows, repeated input rows no further ones; other
     columns are ignored whatever their names. While the items are few (their
     characters are counted first) they are broadcast and one narrow pass finds
-    the runs; beyond that, kept hashes are joined by a shuffle and the texts
-    brought to their hits.
+    the runs; beyond that, kept hashes with the words beside them are joined by a
+    shuffle, hot ones spread, and the texts brought to their hits.
     """
     if span < gram:
         raise ValueError("a passage must be at least as long as a gram")
@@ -151,25 +153,61 @@ def _near(left: DataFrame, right: DataFrame, span: int, gram: int) -> DataFrame:
     return left.mapInArrow(run, HITS).distinct()
 
 
+def contexts(texts: list[list[str]], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, word position of the gram, hash) of the kept grams with the words before them, and with those behind.
+
+    A passage of ``span`` words has span - gram words around its kept gram, half
+    of them at least on one side: two texts that share it share one of the two
+    longer runs. Boilerplate grams that stand in other surroundings do not meet.
+    """
+    w, s, _ = marks(texts, span, gram)
+    beside = (span - gram + 1) // 2
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    h = np.fromiter((_hashes[x] for t in texts for x in t), np.uint64, int(lengths.sum()))
+    first = (np.cumsum(lengths) - lengths)[w] + s
+    found = []
+    for back in (0, beside):
+        inside = (s >= back) & (s - back + gram + beside <= lengths[w])
+        at, g = first[inside] - back, np.full(int(inside.sum()), back + 1, np.uint64)
+        for j in range(gram + beside):
+            g = g * np.uint64(0x9E3779B97F4A7C15) + h[at + j]
+        found.append((w[inside], s[inside], g ^ g >> np.uint64(29)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _marked(df: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array(batch.column(0).to_pylist(), np.int64)
-            w, s, m = marks([words(t) for t in batch.column(1).to_pylist()], span, gram)
+            w, s, m = contexts([words(t) for t in batch.column(1).to_pylist()], span, gram)
             yield batch_of(_MARKS, [pa.array(ids[w]), pa.array(s.astype(np.int32)), pa.array(m.view(np.int64))])
 
     return df.mapInArrow(run, "id long, start int, mark long")
 
 
+def _met(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, doc_at, item_id, item_at) of equal marks. A mark of many documents is spread over several keys, which its items visit all.
+
+    The marks held apart are at most HOT_MARKS, as each has more than one part in
+    HOT_MARKS of all rows; they are broadcast.
+    """
+    counted = docs.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    total = docs.count()
+    hot = F.broadcast(counted.where(F.col("n") > max(HOT_ROWS, total // HOT_MARKS)).select("mark", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")))
+    left = docs.join(hot, "mark", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_at"), F.coalesce("parts", F.lit(1))).cast("int"))
+    right = items.join(hot, "mark", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return left.drop("parts").join(right.drop("parts"), ["mark", "part"]).select("doc_id", "doc_at", "item_id", "item_at")
+
+
 def _far(left: DataFrame, right: DataFrame, span: int, gram: int) -> DataFrame:
-    hits = (
-        _marked(left, span, gram)
-        .toDF("doc_id", "doc_at", "mark")
-        .join(_marked(right, span, gram).toDF("item_id", "item_at", "mark"), "mark")
-        .select("doc_id", "doc_at", "item_id", "item_at")
-        .groupBy("doc_id", "item_id")
-        .agg(F.collect_set(F.struct("doc_at", "item_at")).alias("at"))
-    )
+    """Marks are joined by a shuffle; of each document, item and offset between them only the places where a run can start are kept, then the texts come to them."""
+    docs = written(_marked(left, span, gram).toDF("doc_id", "doc_at", "mark"), "marks")
+    items = _marked(right, span, gram).toDF("item_id", "item_at", "mark")
+    # hits of one run lie on one diagonal, not further apart than a passage: only each chain's first is needed
+    diagonal = Window.partitionBy("doc_id", "item_id", "offset").orderBy("doc_at")
+    chained = _met(docs, items).distinct().withColumn("offset", F.col("doc_at") - F.col("item_at"))
+    first = chained.withColumn("before", F.lag("doc_at").over(diagonal)).where(F.col("before").isNull() | (F.col("doc_at") - F.col("before") > 1))
+    hits = first.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("at"))
     whole = hits.join(left.distinct().toDF("doc_id", "doc_text"), "doc_id").join(right.distinct().toDF("item_id", "item_text"), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,8 +30,12 @@ THRESHOLD = 0.6
 COUNTERS = 1 << 18
 #: Lists expected longer than this are cut into blocks that meet pair by pair.
 LIST_ROWS = 20_000
-#: Candidates verified together at most, about.
-CLUSTER_PAIRS = 5_000
+#: Candidates verified together at most, about, and shingles of the texts that they need.
+CLUSTER_PAIRS, CLUSTER_SHINGLES = 5_000, 400_000
+#: Members of a class of equal sets that are paired together.
+CLASS_ROWS = 2_000
+#: Most classes that are held apart as large ones, and broadcast.
+LARGE_CLASSES = 10_000
 #: Candidates expanded at once in memory.
 SLICE = 300_000
 
@@ -91,8 +95,8 @@ def identities(owner: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(np.add.reduceat(mix(g, 11), starts) + sizes.astype(_U), 13), sizes
 
 
-_FACTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("fp", pa.int64()), ("item_table", pa.string()), ("item_id", pa.int64())])
-_ENTRIES = pa.schema([("list", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+_FACTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("item_table", pa.string()), ("item_id", pa.int64())])
+_ENTRIES = pa.schema([("list", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("side", pa.int8())])
 _CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int64()), ("needed", pa.int64())])
 _VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
@@ -108,19 +112,23 @@ def _facts(items: DataFrame, shingle: int, min_words: int) -> DataFrame:
             if not len(rows):
                 continue
             counts += np.bincount((g % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-            fp, _ = identities(owner, g)
+            fp, sizes = identities(owner, g)
             taken = pa.array(rows)
             none = pa.nulls(len(rows))
-            yield batch_of(_FACTS, [none.cast(pa.int32()), none.cast(pa.int64()), pa.array(fp.view(np.int64)), batch.column(0).take(taken), batch.column(1).take(taken)])
+            yield batch_of(_FACTS, [none.cast(pa.int32()), none.cast(pa.int64()), pa.array(fp.view(np.int64)), pa.array(sizes.astype(np.int32)), batch.column(0).take(taken), batch.column(1).take(taken)])
         used = np.flatnonzero(counts)
         none = pa.nulls(len(used))
-        yield batch_of(_FACTS, [pa.array(used.astype(np.int32)), pa.array(counts[used]), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.int64())])
+        yield batch_of(_FACTS, [pa.array(used.astype(np.int32)), pa.array(counts[used]), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.string()), none.cast(pa.int64())])
 
-    return items.mapInArrow(run, "bucket int, n long, fp long, item_table string, item_id long")
+    return items.mapInArrow(run, "bucket int, n long, fp long, size int, item_table string, item_id long")
 
 
 def _entries(items: DataFrame, sketch: np.ndarray, threshold: float, shingle: int, min_words: int) -> DataFrame:
-    """Index entries: each prefix shingle of each set, with the set's size, the position and a 128-bit parity sketch of the set."""
+    """Index entries: each prefix shingle of each set, with the set's size, the position and a 128-bit parity sketch of the set.
+
+    A hot list is cut into blocks, and there is a list for each pair of them:
+    side says which of the two an entry is of, -1 where they are one.
+    """
     held = items.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +152,11 @@ def _entries(items: DataFrame, sketch: np.ndarray, threshold: float, shingle: in
             n = sizes[owner]
             take = (pos < n - np.ceil(threshold * n - 1e-9).astype(np.int64) + hits_needed(n)) & new[owner]
             owner, g, pos, often = owner[take], g[take], pos[take], often[take]
-            keys, who = [mix(g, 17)], [np.arange(len(g))]
+            keys, who, sides = [mix(g, 17)], [np.arange(len(g))], [np.full(len(g), -1, np.int8)]
             hot = np.flatnonzero(often > LIST_ROWS)
             if len(hot):
-                keys, who = [mix(g, 17)[often <= LIST_ROWS]], [np.flatnonzero(often <= LIST_ROWS)]
+                cold = np.flatnonzero(often <= LIST_ROWS)
+                keys, who, sides = [mix(g, 17)[cold]], [cold], [np.full(len(cold), -1, np.int8)]
                 blocks = np.ceil(often[hot] / LIST_ROWS).astype(np.int64)
                 mine = (mix(fp[owner[hot]], 19) % blocks.astype(_U)).astype(np.int64)
                 for other in range(int(blocks.max())):
@@ -155,11 +164,12 @@ def _entries(items: DataFrame, sketch: np.ndarray, threshold: float, shingle: in
                     a, b = np.minimum(mine[use], other), np.maximum(mine[use], other)
                     keys.append(mix(g[hot[use]] + mix((a * 1_000_003 + b).astype(_U), 23), 29))
                     who.append(hot[use])
+                    sides.append(np.where(a == b, -1, mine[use] != a).astype(np.int8))
             at = np.concatenate(who)
             own = owner[at]
-            yield batch_of(_ENTRIES, [pa.array(np.concatenate(keys).view(np.int64)), pa.array(fp[own].view(np.int64)), pa.array(sizes[own].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(low[own].view(np.int64)), pa.array(high[own].view(np.int64))])
+            yield batch_of(_ENTRIES, [pa.array(np.concatenate(keys).view(np.int64)), pa.array(fp[own].view(np.int64)), pa.array(sizes[own].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(low[own].view(np.int64)), pa.array(high[own].view(np.int64)), pa.array(np.concatenate(sides))])
 
-    return items.mapInArrow(run, "list long, fp long, size int, pos int, low long, high long")
+    return items.mapInArrow(run, "list long, fp long, size int, pos int, low long, high long, side byte")
 
 
 def block_pairs(lists: np.ndarray, size: np.ndarray, pos: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,13 +238,13 @@ def _candidates(entries: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
-        for lists, fp, size, pos, low, high in lists_of(batches):
+        for lists, fp, size, pos, low, high, side in lists_of(batches):
             fresh = np.r_[True, (lists[1:] != lists[:-1]) | (fp[1:] != fp[:-1])]
             lists, fp, low, high = lists[fresh], fp[fresh], low[fresh].view(_U), high[fresh].view(_U)
-            size, pos = size[fresh].astype(np.int64), pos[fresh].astype(np.int64)
+            size, pos, side = size[fresh].astype(np.int64), pos[fresh].astype(np.int64), side[fresh]
             for x, y in block_pairs(lists, size, pos, threshold):
                 far = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
-                near = (far <= (1 - threshold) / (1 + threshold) * (size[x] + size[y]) + 1e-9) & (fp[x] != fp[y])
+                near = (far <= (1 - threshold) / (1 + threshold) * (size[x] + size[y]) + 1e-9) & (fp[x] != fp[y]) & ((side[x] < 0) | (side[x] != side[y]))
                 x, y = x[near], y[near]
                 gathered.append(np.stack([np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]), hits_needed(size[x])], 1))
             if sum(map(len, gathered)) > 50_000:
@@ -266,15 +276,18 @@ def overlaps(sets: dict[int, set], pairs: list[tuple[int, int]], leader: int) ->
 
 
 def _verified(candidates: DataFrame, facts: DataFrame, items: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Candidates with their similarity, cluster by cluster; a cluster that is large by pairs or by text is cut along both ends of its pairs."""
     ends = candidates.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(candidates.select(F.col("b").alias("v"), F.col("a").alias("w")))
     leader = ends.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("home"))
-    homed = candidates.join(leader.withColumnRenamed("v", "a"), "a")
-    crowd = homed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_PAIRS).alias("parts"))
-    homed = homed.join(crowd, "home").select("home", F.pmod(F.hash("b"), F.col("parts").cast("int")).alias("part"), "a", "b")
+    chosen = facts.where("fp is not null").groupBy("fp").agg(F.min(F.struct("item_table", "item_id")).alias("m"), F.max("size").alias("size")).select("fp", "m.item_table", "m.item_id", "size")
+    sized = chosen.select(F.col("fp").alias("b"), "size")
+    homed = candidates.join(leader.withColumnRenamed("v", "a"), "a").join(sized, "b")
+    crowd = homed.groupBy("home").agg(F.ceil(F.sqrt(F.greatest(F.count(F.lit(1)) / CLUSTER_PAIRS, 2 * F.sum("size") / CLUSTER_SHINGLES))).cast("int").alias("parts"))
+    cut = lambda end, seed: F.pmod(F.xxhash64(end, F.lit(seed)), F.col("parts")).cast("int")
+    homed = homed.join(crowd, "home").select("home", (cut("a", 1) * F.col("parts") + cut("b", 2)).alias("part"), "a", "b")
     pairs = homed.groupBy("home", "part").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     needed = homed.select("home", "part", F.explode(F.array("home", "a", "b")).alias("fp")).distinct()
-    chosen = facts.where("fp is not null").groupBy("fp").agg(F.min(F.struct("item_table", "item_id")).alias("m")).select("fp", "m.item_table", "m.item_id")
-    texts = needed.join(chosen, "fp").join(items, ["item_table", "item_id"])
+    texts = needed.join(chosen.drop("size"), "fp").join(items, ["item_table", "item_id"])
     sets = texts.groupBy("home", "part").agg(F.collect_list(F.struct("fp", "text")).alias("sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,19 +309,52 @@ def _verified(candidates: DataFrame, facts: DataFrame, items: DataFrame, thresho
 
 
 class NearDuplicates:
-    """The join's parts: classes(item_table, item_id, fp) of equal sets, and links(a, b, jaccard) between classes."""
+    """The join's parts: classes(item_table, item_id, fp, block) of equal sets, sizes(fp, n) of the classes, and links(a, b, jaccard) between them.
+
+    Classes of more than CLASS_ROWS members, LARGE_CLASSES of them at most, are
+    cut into blocks; those of all others have one.
+    """
 
     def __init__(self, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS):
         small_batches(items.sparkSession)
         items = items.select("item_table", "item_id", "text").where("item_id is not null and item_table is not null")
         facts = written(_facts(items, shingle, min_words), "sets")
-        self.classes = facts.where("fp is not null").select("item_table", "item_id", "fp")
+        members = facts.where("fp is not null").select("item_table", "item_id", "fp").distinct()
+        self.sizes = written(members.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "classes")
+        total = self.sizes.agg(F.sum("n")).first()[0] or 0
+        self.large = self.sizes.where(F.col("n") > max(CLASS_ROWS, total // LARGE_CLASSES)).select("fp", F.ceil(F.col("n") / CLASS_ROWS).cast("int").alias("blocks"))  # LARGE_CLASSES rows at most
+        blocked = members.join(F.broadcast(self.large), "fp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        self.classes = blocked.withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
         sketch = np.zeros(COUNTERS, np.int64)
         counted = facts.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
         sketch[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
         candidates = written(_candidates(_entries(items, sketch, threshold, shingle, min_words), threshold), "pairs")
         self.links = _verified(candidates, facts, items, threshold, shingle)
 
+    def pairs(self) -> DataFrame:
+        """(item_table, x, y), x < y: members of linked classes, and of one class, block by block."""
+        classes = self.classes
+        left = classes.select("item_table", F.col("item_id").alias("x"), F.col("fp").alias("a"), F.col("block").alias("i"))
+        right = classes.select(F.col("item_id").alias("y"), F.col("fp").alias("b"), F.col("block").alias("j"))
+        large = F.broadcast(self.large)
+        links = self.links.select("a", "b").join(large.toDF("a", "na"), "a", "left").join(large.toDF("b", "nb"), "b", "left")
+        for n, block in (("na", "i"), ("nb", "j")):
+            links = links.withColumn(block, F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)))
+        linked = links.select("a", "i", "b", "j").join(left, ["a", "i"]).join(right, ["b", "j"]).where("x != y").select("item_table", "x", "y")
+        low = classes.select("item_table", F.col("item_id").alias("x"), "fp", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+        high = classes.select(F.col("item_id").alias("y"), "fp", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+        copies = low.join(high, ["fp", "i", "j"]).where("i < j and x != y or x < y").select("item_table", "x", "y")
+        return linked.unionByName(copies).select("item_table", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    def membership(self) -> DataFrame:
+        """(item_table, item_id, class_id, copies, links): each document once, with how many more its class has, and how many other classes it is linked to."""
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
+        facts = self.sizes.join(ends, "fp", "left").select("fp", (F.col("n") - 1).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+        # large classes are broadcast, so that the rows of none of them meet in one task
+        apart = self.classes.where("blocks > 1").join(F.broadcast(facts.join(F.broadcast(self.large), "fp", "left_semi")), "fp")
+        rest = self.classes.where("blocks = 1").join(facts, "fp")
+        return apart.unionByName(rest).select("item_table", "item_id", F.col("fp").alias("class_id"), "copies", "links")
+
 
 def near_duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
     """(item_table, id_a, id_b), id_a < id_b: pairs within a table of (item_table, item_id, text) at or above the threshold.
@@ -316,13 +362,16 @@ def near_duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD, shingle
     Exact: no link is lost, copies included. Texts with fewer words than
     min_words, null texts and rows without table or id take no part; an id given
     twice with one text counts once; an empty table gives no rows; other columns
-    are ignored.
+    are ignored. A class of many copies is paired in blocks.
+    """
+    return NearDuplicates(items, threshold, shingle, min_words).pairs().toDF("item_table", "id_a", "id_b").distinct()
+
+
+def near_duplicate_classes(items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+    """(item_table, item_id, class_id, copies, links): the same join without its pairs, one row for each document that takes part.
+
+    Documents of equal sets are one class; copies counts the others in it, links
+    the classes at or above the threshold. Rows are left out as by
+    near_duplicate_pairs; an id with several texts has a row for each.
     """
-    found = NearDuplicates(items, threshold, shingle, min_words)
-    classes = found.classes.distinct()
-    left = classes.select("item_table", F.col("item_id").alias("x"), F.col("fp").alias("a"))
-    right = classes.select(F.col("item_id").alias("y"), F.col("fp").alias("b"))
-    linked = found.links.select("a", "b").join(left, "a").join(right, "b").select("item_table", "x", "y")
-    copies = left.join(right, F.col("a") == F.col("b")).where("x < y").select("item_table", "x", "y")
-    both = linked.where("x != y").unionByName(copies)
-    return both.select("item_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return NearDuplicates(items, threshold, shingle, min_words).membership()

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ MOST_CELLS = 65_536
 PROBES_NEAR, PROBES_ALL = 3, 96
 #: When all neighbours are asked for, a query scans so many times the square root of the number of cells.
 PROBES_GROWTH = 5
-#: A cell's vectors are split into blocks of about so many.
-BLOCK_ROWS = 8192
+#: A cell's vectors, and the queries that scan it, are split into blocks of about so many.
+BLOCK_ROWS, QUERY_ROWS = 8192, 65_536
 #: Best codes of a scan that are scored exactly, as a multiple of k.
 RERANK = 5
 #: How much more error along the vector weighs than error across it.
@@ -175,14 +176,19 @@ def usable_vectors(df: DataFrame, item: str, vector: str, dimension: int = DIMEN
     return rows.mapInArrow(run, "id long, vector binary")
 
 
-_SENT = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("id", pa.int64()), ("vector", pa.binary()), ("codes", pa.binary()), ("asks", pa.bool_())])
+_SENT = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("askers", pa.int32()), ("id", pa.int64()), ("vector", pa.binary()), ("codes", pa.binary()), ("asks", pa.bool_())])
 _PAIRS = pa.schema([("id", pa.int64()), ("neighbor", pa.int64()), ("cosine", pa.float64())])
 
 
-def _searched(classes: DataFrame, index: Index, total: int, k: int, probes: int, min_cosine: float | None) -> DataFrame:
-    """(id, neighbor, cosine): the best k of each probed block for each asking vector, itself aside."""
+def _searched(classes: DataFrame, index: Index, total: int, asking: int, k: int, probes: int, min_cosine: float | None) -> DataFrame:
+    """(id, neighbor, cosine): the best k of each probed block for each asking vector, itself aside.
+
+    Blocks of a cell's vectors meet blocks of its queries, so that a group is
+    bounded however dense a cell is.
+    """
     held = classes.sparkSession.sparkContext.broadcast(index)
     blocks = np.maximum(1, np.ceil(index.share * total / BLOCK_ROWS)).astype(np.int64)
+    askers = np.maximum(1, np.ceil(index.share * asking * min(probes, len(index.centroids)) / QUERY_ROWS)).astype(np.int64)
     width = index.centroids.shape[1]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,18 +202,20 @@ def _searched(classes: DataFrame, index: Index, total: int, k: int, probes: int,
             near = cells_of(x, ix.centroids, probes)
             home = near[:, 0]
             codes = [c.tobytes() for c in pack_codes(ix.encode(x, home))]
-            own = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[home]
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            own, turn = mixed % blocks[home], mixed // 7919
             vectors = batch.column(1).to_pylist()
             out: list[list] = [[] for _ in _SENT]
             for r in range(len(ids)):
                 cell = int(home[r])
-                for c, v in zip(out, (cell, int(own[r]), int(ids[r]), vectors[r], codes[r], bool(ask[r])), strict=True):
-                    c.append(v)
+                for a in range(int(askers[cell])):
+                    for c, v in zip(out, (cell, int(own[r]), a, int(ids[r]), vectors[r], codes[r], bool(ask[r]) and a == turn[r] % askers[cell]), strict=True):
+                        c.append(v)
                 if ask[r]:
                     for cell in near[r].tolist():
                         for b in range(int(blocks[cell])):
                             if cell != home[r] or b != own[r]:
-                                for c, v in zip(out, (cell, b, int(ids[r]), vectors[r], None, True), strict=True):
+                                for c, v in zip(out, (cell, b, int(turn[r] % askers[cell]), int(ids[r]), vectors[r], None, True), strict=True):
                                     c.append(v)
             yield batch_of(_SENT, out)
 
@@ -239,8 +247,8 @@ def _searched(classes: DataFrame, index: Index, total: int, k: int, probes: int,
             found.append((qids[at : at + 512][q_at], who[good], score[good]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_PAIRS)
 
-    sent = classes.select("id", "vector", "asks").mapInArrow(send, "cell int, block int, id long, vector binary, codes binary, asks boolean")
-    return sent.groupBy("cell", "block").applyInArrow(search, "id long, neighbor long, cosine double")
+    sent = classes.select("id", "vector", "asks").mapInArrow(send, "cell int, block int, askers int, id long, vector binary, codes binary, asks boolean")
+    return sent.groupBy("cell", "block", "askers").applyInArrow(search, "id long, neighbor long, cosine double")
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -279,7 +287,7 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int | Non
     rows = written(usable_vectors(df, item, vector, dimension), "vectors")
     keyed = rows.select("id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
     classes = keyed.groupBy("h1", "h2").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("id"), F.count("id").alias("n"), F.max(F.expr(asking) if asking else F.lit(True)).alias("asks"))
-    total = rows.count()
+    total, asks = rows.agg(F.count(F.lit(1)), F.count_if(F.expr(asking) if asking else F.lit(True))).first()
     index = trained_index(rows, total, dimension)
     if index is None:
         return spark.createDataFrame([], "id long, neighbor long, cosine double, rank int")
@@ -298,7 +306,7 @@ def nearest(df: DataFrame, item: str, vector: str, k: int = K, probes: int | Non
         .select("class", F.col("id").alias("member"))
     )
     scanned = probes_of(len(index.centroids)) if probes is None else probes
-    best = _ranked(_searched(classes, index, total, k, scanned, min_cosine), k).drop("rank")
+    best = _ranked(_searched(classes, index, total, asks, k, scanned, min_cosine), k).drop("rank")
     return _expanded(written(best, "nearest"), members, least, k, asking)
 
 
@@ -322,3 +330,40 @@ def similar_pairs(df: DataFrame, item: str, vector: str, min_cosine: float, k: i
     """(stored_id_a, stored_id_b), a < b: pairs of at least min_cosine of which one is among the other's k nearest."""
     near = nearest(df, item, vector, k, probes, min_cosine).where(F.col("cosine") >= min_cosine)
     return near.select(F.least("id", "neighbor").alias("stored_id_a"), F.greatest("id", "neighbor").alias("stored_id_b")).distinct()
+
+
+def recall(df: DataFrame, item: str, vector: str, asking: str, k: int = K, dimension: int = DIMENSION) -> DataFrame:
+    """One row (asked, wanted, found): of the exact k nearest rows of every asking row, how many nearest() finds.
+
+    The asking rows meet all rows in blocks, by brute force; a neighbour as near
+    as the k-th counts as one of the k. Meant for a stated set of queries.
+    """
+    rows = written(usable_vectors(df, item, vector, dimension).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
+    asked = rows.where(asking)
+    parts = F.lit(max(1, math.ceil(rows.count() / BLOCK_ROWS)))
+    turns = F.lit(max(1, math.ceil(asked.count() / QUERY_ROWS)))
+    stored = rows.withColumn("block", F.pmod(F.xxhash64("id"), parts)).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), turns.cast("long") - 1))).withColumn("asks", F.lit(False))
+    queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), turns)).withColumn("asks", F.lit(True))
+
+    def exact(group: pa.Table) -> pa.Table:
+        mine, all_ = group.filter(group.column("asks")), group.filter(pa.compute.invert(group.column("asks")))
+        if not mine.num_rows or not all_.num_rows:
+            return _PAIRS.empty_table()
+        x, ids, qids = unit(_matrix(all_.column("vector"), dimension, np.float32)).astype(np.float64), all_.column("id").to_numpy(), mine.column("id").to_numpy()
+        found = []
+        for at in range(0, mine.num_rows, 512):
+            scores = unit(_matrix(mine.column("vector").slice(at, 512), dimension, np.float32)).astype(np.float64) @ x.T
+            who = qids[at : at + 512]
+            scores[who[:, None] == ids[None]] = -np.inf
+            keep = min(k, len(ids))
+            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+            value = np.take_along_axis(scores, best, 1)
+            row, col = np.nonzero(np.isfinite(value))
+            found.append((who[row], ids[best[row, col]], value[row, col]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_PAIRS)
+
+    pairs = queries.unionByName(stored).groupBy("block", "turn").applyInArrow(exact, "id long, neighbor long, cosine double")
+    least = _ranked(pairs, k).groupBy("id").agg(F.round(F.min("cosine"), 6).alias("least"), F.count(F.lit(1)).alias("wanted"))
+    got = nearest(df, item, vector, k, asking=asking, dimension=dimension)
+    met = got.join(least, "id").where(F.round("cosine", 6) >= F.col("least")).groupBy("id").agg(F.count(F.lit(1)).alias("found"))
+    return least.join(met, "id", "left").agg(F.count(F.lit(1)).alias("asked"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), F.coalesce(F.sum(F.least("found", "wanted")), F.lit(0)).alias("found"))

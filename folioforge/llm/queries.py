@@ -51,6 +51,11 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.nearest(table(spark, sf_dir, "index_chunks"), "stored_id", "vector", asking="id % 100 = 0")
 
 
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact ten nearest of those rows p4_nearest finds, by brute force in blocks."""
+    return neighbors.recall(table(spark, sf_dir, "index_chunks"), "stored_id", "vector", "id % 100 = 0")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.distinctive_terms(table(spark, sf_dir, "documents"), "doc_id", "text", min_tf=4, min_df=2, max_df=8, min_length=5, letters_only=True)
 
@@ -72,6 +77,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(_sectioned(spark, sf_dir))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sections share a section's shingle set, and to how many other sets it is linked."""
+    found = neardup.near_duplicate_classes(_sectioned(spark, sf_dir))
+    return found.select("item_table", "item_id", "copies", "links")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.page_noise(table(spark, sf_dir, "ocr_responses"), "response_id", "page_markdowns")
 
@@ -115,7 +126,7 @@ def p10_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_pieces, p2_found, p2_clean, p4_found, p4_nearest, p5_found, p5_model, p6_found, p7_found, p7_text, p8_ids, p9_found, p9_passages, p10_found, p10_shares, p10_rule, p10_cutoffs)
+    every = (p1_found, p1_pieces, p2_found, p2_clean, p4_found, p4_nearest, p4_recall, p5_found, p5_model, p6_found, p6_classes, p7_found, p7_text, p8_ids, p9_found, p9_passages, p10_found, p10_shares, p10_rule, p10_cutoffs)
     return {f.__name__: f for f in every}
 
 

@@ -69,6 +69,15 @@ o AS (
 SELECT item_table, id_a, id_b FROM o WHERE 5 * shared >= 3 * (na + nb - shared)
 """
 
+P6_CLASSES = P6.split("SELECT item_table, id_a")[0].rstrip() + """, k AS (SELECT item_table, id, array_to_string(list_sort(g), '|') AS k FROM s),
+c AS (SELECT item_table, k, count(*) AS n FROM k GROUP BY ALL),
+l AS (SELECT DISTINCT o.item_table, x.k AS a, y.k AS b FROM o JOIN k x ON x.item_table = o.item_table AND x.id = o.id_a JOIN k y ON y.item_table = o.item_table AND y.id = o.id_b
+      WHERE 5 * shared >= 3 * (na + nb - shared) AND x.k <> y.k),
+m AS (SELECT item_table, k, count(DISTINCT z) AS links FROM (SELECT item_table, a AS k, b AS z FROM l UNION ALL SELECT item_table, b, a FROM l) GROUP BY ALL)
+SELECT k.item_table, k.id AS item_id, c.n - 1 AS copies, coalesce(m.links, 0) AS links
+FROM k JOIN c ON c.item_table = k.item_table AND c.k = k.k LEFT JOIN m ON m.item_table = k.item_table AND m.k = k.k
+"""
+
 P9 = f"""
 WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
 i AS (SELECT item_id, {_words("text")} AS w FROM bench_items),
@@ -91,4 +100,4 @@ g AS (SELECT doc_id, {_grams(5)} AS g FROM d WHERE len(w) >= 40)
 SELECT doc_id FROM g WHERE 1 - CAST(len(list_distinct(g)) AS DOUBLE) / len(g) >= 0.30
 """
 
-ORACLE = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}
+ORACLE = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_classes": P6_CLASSES, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}

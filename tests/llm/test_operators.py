@@ -163,6 +163,21 @@ def test_neighbours_against_brute_force(spark):
     assert neighbors.nearest(df.limit(0), "stored_id", "vector").count() == 0
 
 
+def test_dense_cells_in_blocks(spark, monkeypatch):
+    """Blocks of vectors and of queries change nothing, and recall() counts what brute force wants."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + rng.normal(size=(500, 64)) * 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))] + [(7, x[7].tolist()), (900, None)], "stored_id long, vector array<float>")
+    whole = {tuple(r) for r in neighbors.nearest(df, "stored_id", "vector").select("id", "neighbor").collect()}
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 200)
+    cut = {tuple(r) for r in neighbors.nearest(df, "stored_id", "vector").select("id", "neighbor").collect()}
+    assert len(cut) == 5000 and len(whole & cut) >= 4950
+    measured = neighbors.recall(df, "stored_id", "vector", "id % 10 = 0").first()
+    assert (measured.asked, measured.wanted) == (50, 500) and measured.found >= 490
+    assert tuple(neighbors.recall(df.limit(0), "stored_id", "vector", "id % 10 = 0").first()) == (0, 0, 0)
+
+
 def test_probes_grow_with_the_cells():
     """No fewer than 96, and more from 370 cells on."""
     assert [neighbors.probes_of(n) for n in (1, 124, 394, 1249, 3950)] == [96, 96, 100, 177, 315]
@@ -252,6 +267,23 @@ def test_near_duplicates_are_exact(spark, monkeypatch):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_copies_and_clusters_in_blocks(spark, monkeypatch):
+    """Many copies of one text, and one text with many near copies, cut along both ends: same pairs, and each document's class."""
+    rng = random.Random(2)
+    base, far = sentence(rng, 60), sentence(rng, 40)
+    items = [("a", i, base) for i in range(50)] + [("a", 100 + i, base + f" fin{i}") for i in range(40)] + [("a", 200, far), ("b", 1, base), ("a", 201, far + " x"), ("a", 202, "court")]
+    df = spark.createDataFrame(items, "item_table string, item_id long, text string")
+    for name, value in (("CLASS_ROWS", 7), ("CLUSTER_PAIRS", 20), ("CLUSTER_SHINGLES", 500), ("LIST_ROWS", 10)):
+        monkeypatch.setattr(neardup, name, value)
+    want = brute_pairs(items)
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
+    rows = {(r.item_table, r.item_id): r for r in neardup.near_duplicate_classes(df).collect()}
+    assert len(rows) == len(items) - 1 and len({r.class_id for r in rows.values()}) == 44
+    assert (rows["a", 3].copies, rows["a", 3].links) == (49, 40) and (rows["a", 105].copies, rows["a", 105].links) == (0, 40)
+    assert (rows["a", 200].links, rows["b", 1].copies, rows["b", 1].links) == (1, 0, 0)
+    assert neardup.near_duplicate_classes(df.limit(0)).count() == 0
+
+
 def test_hot_lists_in_blocks():
     rng = np.random.default_rng(1)
     lists, size = np.sort(rng.integers(0, 6, 400)), rng.integers(20, 60, 400)
@@ -373,7 +405,7 @@ def test_lookahead_suffices_for_any_merge_list():
 # 9: leaks
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     items = [sentence(rng, 60) for _ in range(8)] + ["", None, "trop court"]
     texts = []
@@ -396,6 +428,8 @@ def test_leaks_against_brute_force(spark):
         w = words(t)
         for k in range(len(w) - 12):
             want |= {(d, i) for i in grams.get(tuple(w[k : k + 13]), ())}
+    monkeypatch.setattr(leak, "HOT_ROWS", 3)
+    monkeypatch.setattr(leak, "HOT_MARKS", 10**9)
     for limit in (leak.BROADCAST_CHARS, 0):
         found = leak.leaked_passages(df, "doc_id", "text", bench, "item_id", "text", broadcast_chars=limit).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want and all(r.n_words >= 13 for r in found)
