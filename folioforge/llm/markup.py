@@ -4,8 +4,9 @@ Each text is parsed, fenced and inline code aside, to the nodes of its markup:
 elements by their path, wiki and LaTeX constructs by their kind. The nodes of
 all texts of one host (here: directory) are merged to a style tree. A place in
 the tree is important if what stands there differs from page to page: its
-importance is the entropy of presentation and content over the pages that have
-it, each branch's part against a fixed base, so that it does not change with
+importance is the entropy of presentation and of content over the pages that
+have it, its own and, weighted down by depth, that of the places below; each
+branch's part is measured against a fixed base, so that it does not change with
 the number of pages. Blocks at places of low importance that a good part of the
 host's pages share are removed from each page; the rest is rendered with
 headings, lists, tables, code and formulas kept. Inline elements, breaks,
@@ -33,6 +34,8 @@ SHARE = 0.5
 IMPORTANCE = 0.2
 #: A branch that one page in so many has, or fewer, counts as wholly different.
 BASE = 12
+#: What a level of the tree counts for the place above it, against the level above.
+DECAY = 0.9
 
 # The names of HTML elements, current and obsolete.
 ELEMENTS = frozenset(
@@ -274,7 +277,10 @@ def _unhtml(text: str, code: Code) -> str:
         return ""
 
     text = _TAG.sub(tag, text)
-    return _ENTITY.sub(lambda m: html.unescape(m[0]) if _entity(m) else m[0], text)
+    plain = _ENTITY.sub(lambda m: html.unescape(m[0]) if _entity(m) else m[0], text)
+    # markup that was escaped, once or more often, is markup still; each round has fewer entities
+    escaped = plain != text and (any(m[2].lower() in ELEMENTS for m in _TAG.finditer(plain)) or _COMMENT.search(plain) or any(map(_entity, _ENTITY.finditer(plain))))
+    return _unhtml(plain, code) if escaped else plain
 
 
 def _argument(text: str, at: int) -> tuple[str, int]:
@@ -442,22 +448,40 @@ _PLACE = ("host", "markup", "path")
 _BRANCH = (*_PLACE, "look", "content")
 
 
-def _branches(found: DataFrame) -> DataFrame:
+def _branches(found: DataFrame, *by: str) -> DataFrame:
     """Branches with the pages that hold them and the nodes there; a page is an (item_table, item_id), however many rows repeat it."""
-    return found.groupBy(*_BRANCH, "item_table", "item_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*_BRANCH).agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("nodes"))
+    return found.groupBy(*by, "item_table", "item_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("nodes"))
 
 
-def style_tree(found: DataFrame) -> DataFrame:
-    """Places (host, markup, path) with the nodes there and their importance from 0 (all alike) to 1 (all different).
+def _variety(found: DataFrame, kind: str) -> DataFrame:
+    """Places with how much one kind of their nodes' features differs, from 0 (all alike) to 1 (all different).
 
-    The mean of -log(share of the branch), in units of log(BASE) and 1 at most:
-    equal shares give equal importance, whatever the number of pages.
+    The mean of -log(share of the pages), in units of log(BASE) and 1 at most:
+    equal shares give equal values, whatever the number of pages. A place on one
+    page can't be told to be alike.
     """
-    branches = _branches(found)
-    whole = branches.groupBy(*_PLACE).agg(F.sum("pages").alias("all"))
+    branches = _branches(found, *_PLACE, kind)
+    whole = branches.groupBy(*_PLACE).agg(F.sum("pages").alias("all"), F.sum("nodes").alias("nodes"))
     part = F.col("pages") / F.col("all")
     apart = F.sum(part * F.least(F.lit(1.0), -F.log(part) / math.log(BASE)))
-    return branches.join(whole, [*_PLACE]).groupBy(*_PLACE).agg(F.sum("nodes").alias("nodes"), F.when(F.first("all") > 1, apart).otherwise(1.0).alias("importance"))
+    return branches.drop("nodes").join(whole, [*_PLACE]).groupBy(*_PLACE).agg(F.max("nodes").alias("nodes"), F.when(F.first("all") > 1, apart).otherwise(1.0).alias(kind))
+
+
+def style_tree(found: DataFrame) -> DataFrame:
+    """Places (host, markup, path) with the nodes there, the variety of their presentation and content, and their composite importance.
+
+    A place's own importance is the greater of the two. The composite one goes
+    up the tree: the mean of the places of each level below, weighted by their
+    nodes, counts DECAY times as much as the level above it. A tree has as many
+    rows as its hosts have places, each sent once to every place above it.
+    """
+    own = _variety(found, "look").join(_variety(found, "content").drop("nodes"), [*_PLACE]).withColumn("own", F.greatest("look", "content"))
+    steps = F.split("path", ">")
+    level = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), ">")))
+    above = own.select("host", "markup", F.size(steps).alias("depth"), "nodes", "own", level).select("host", "markup", F.col("col").alias("path"), (F.col("depth") - F.col("pos") - 1).alias("down"), "nodes", "own")
+    levels = above.groupBy(*_PLACE, "down").agg((F.sum(F.col("own") * F.col("nodes")) / F.sum("nodes")).alias("mean")).withColumn("weight", F.pow(F.lit(DECAY), F.col("down")))
+    composite = levels.groupBy(*_PLACE).agg((F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("importance"))
+    return own.join(composite, [*_PLACE]).select(*_PLACE, "nodes", F.col("look").alias("presentation"), "content", "importance")
 
 
 def noise(found: DataFrame, tree: DataFrame, min_pages: int = MIN_PAGES, importance: float = IMPORTANCE, share: float = SHARE) -> DataFrame:
@@ -468,7 +492,7 @@ def noise(found: DataFrame, tree: DataFrame, min_pages: int = MIN_PAGES, importa
     """
     blocks = found.where((F.col("markup") == "html") & F.element_at(F.split("path", ">"), -1).isin(*sorted(BLOCKS)) & (F.col("content") != 0))
     held = blocks.select("host", "item_table", "item_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    shared = _branches(blocks).where(F.col("pages") >= min_pages).join(held, "host").where(F.col("pages") >= share * F.col("all")).select(*_BRANCH)
+    shared = _branches(blocks, *_BRANCH).where(F.col("pages") >= min_pages).join(held, "host").where(F.col("pages") >= share * F.col("all")).select(*_BRANCH)
     return shared.join(tree.where(F.col("importance") < importance).select(*_PLACE), [*_PLACE])
 
 
@@ -482,6 +506,15 @@ def found_markup(items: DataFrame) -> DataFrame:
     return found.join(style_tree(found), ["host", "markup", "path"]).select("item_table", "item_id", "markup").distinct()
 
 
+def removed_branches(items: DataFrame) -> DataFrame:
+    """(host, path, look, pages, importance) of the branches that clean_items removes as noise."""
+    found = written(markup_nodes(items), "markup")
+    tree = written(style_tree(found), "tree")
+    gone = noise(found, tree)
+    held = found.join(gone, [*_BRANCH])
+    return _branches(held, *_BRANCH).join(tree.select(*_PLACE, "importance"), [*_PLACE]).select("host", "path", "look", "content", "pages", F.round("importance", 6).alias("importance"))
+
+
 def clean_items(items: DataFrame) -> DataFrame:
     """(item_table, item_id, clean, removed_branches) of every row.
 

@@ -42,6 +42,11 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_items(_marked(spark, sf_dir))
 
 
+def p2_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The branches that p2_clean takes out of the notes of a directory, with the pages that share them."""
+    return markup.removed_branches(_marked(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.similar_pairs(table(spark, sf_dir, "index_chunks"), "stored_id", "vector", MIN_COSINE)
 
@@ -126,7 +131,7 @@ def p10_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p1_pieces, p2_found, p2_clean, p4_found, p4_nearest, p4_recall, p5_found, p5_model, p6_found, p6_classes, p7_found, p7_text, p8_ids, p9_found, p9_passages, p10_found, p10_shares, p10_rule, p10_cutoffs)
+    every = (p1_found, p1_pieces, p2_found, p2_clean, p2_removed, p4_found, p4_nearest, p4_recall, p5_found, p5_model, p6_found, p6_classes, p7_found, p7_text, p8_ids, p9_found, p9_passages, p10_found, p10_shares, p10_rule, p10_cutoffs)
     return {f.__name__: f for f in every}
 
 

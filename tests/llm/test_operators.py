@@ -79,6 +79,27 @@ def test_clean_text():
     assert "# T" in tex and "- a" in tex and "$x_1$" in tex and "*b* (c)" in tex and "\\" not in tex
 
 
+def test_escaped_markup_leaves_no_tags():
+    """Markup escaped once or more is markup still; comparisons, placeholders and code stay."""
+    assert markup.clean_text("a &lt;p&gt;un&lt;/p&gt; &amp;lt;b&amp;gt;deux&amp;lt;/b&amp;gt; R&amp;D") == "a \n\nun\n\n **deux** R&D".replace(" \n", "\n")
+    assert markup.clean_text("1 &lt; 2 et &lt;slug&gt; &amp;") == "1 < 2 et <slug> &"
+    assert markup.clean_text("<code>&lt;p&gt;</code> &eacute;") == "`<p>` é"
+    for text in ("&amp;" * 3 + "lt;br&gt;", "&lt;!-- x --&gt;y", "<p>&lt;div class=x&gt;z&lt;/div&gt;</p>"):
+        assert not any(n[0] == "html" for n in markup.nodes(markup.Code(markup.clean_text(text)).text))
+
+
+def test_importance_goes_up_the_tree(spark):
+    """A frame whose parts are alike is unimportant, one that holds different texts is not, whatever its own presentation."""
+    pages = [f"<div class=a><p class=b>menu</p></div><section><ul><li>{sentence(random.Random(i), 6)}</li></ul></section>" for i in range(30)]
+    items = markup.items_of(docs(spark, *pages), "documents", "doc_id", "term", "text")
+    tree = {r.path: r for r in markup.style_tree(markup.markup_nodes(items)).collect()}
+    assert tree["div"].importance == tree["div>p"].importance == 0 and tree["div"].nodes == 30
+    assert tree["section"].presentation == 0 and tree["section"].importance > 0.9 and tree["section>ul>li"].content > 0.99
+    gone = markup.removed_branches(items).collect()
+    assert {(r.path, r.look, r.pages) for r in gone} == {("div", "class=a", 30), ("div>p", "class=b", 30)}
+    assert markup.removed_branches(items.limit(0)).count() == 0
+
+
 def test_latex_content_is_the_whole_argument():
     """Long arguments with one opening differ; what follows an argument does not count."""
     same = "un long début " * 30
