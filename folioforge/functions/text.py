@@ -102,51 +102,56 @@ def link_target(raw: Column) -> Column:
 
 
 def normal_name(x: Column) -> Column:
-    """A name without case, accents, hyphens, underscores and final plural."""
-    return F.regexp_replace(F.regexp_replace(fold(x), r"[-_ ]+", " "), r"s\b", "")
+    """A name without case, accents, hyphens, underscores and the plural at its end."""
+    return F.regexp_replace(F.regexp_replace(fold(x), r"[-_ ]+", " "), "s$", "")
 
 
-#: Secrets to mask, each with what replaces it.
-SECRETS = (
-    (r"(?i)(authorization\s*:\s*bearer\s+)(?!\[secret)\S+", "$1[secret masqué]"),
-    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd|mot[_ ]de[_ ]passe)\s*[:=]\s*)(?!\[secret)[^\s,;\"']+", "$1[secret masqué]"),
-    (r"\bsk-[A-Za-z0-9_-]{16,}", "[secret masqué]"),
-    (r"\bghp_[A-Za-z0-9]{20,}", "[secret masqué]"),
-    (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "[secret masqué]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[secret masqué]"),
-    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}", "[secret masqué]"),
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[secret masqué]"),
-)
+def figure_markers(x: Column) -> Column:
+    """Image references replaced by numbered markers, in order."""
+    parts = F.split(x, r"!\[[^\]]*\]\([^)]*\)", -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("[figure "), i.cast("string"), F.lit(" — non extraite]"), p))), "")
 
 
-def masked(x: Column) -> Column:
-    """The text with its secrets masked; what is masked already stays."""
-    for pattern, instead in SECRETS:
-        x = F.regexp_replace(x, pattern, instead)
-    return x
+def _compositions() -> list[tuple[str, str, str]]:
+    """Each combining mark with the letters that it may follow, and those it makes of them."""
+    found: dict[str, tuple[list[str], list[str]]] = {}
+    for point in range(0xC0, 0x2000):
+        parts = unicodedata.decomposition(chr(point)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and 0x300 <= int(parts[1], 16) < 0x370 and unicodedata.normalize("NFC", chr(point)) == chr(point):
+            letters, whole = found.setdefault(chr(int(parts[1], 16)), ([], []))
+            letters.append(chr(int(parts[0], 16)))
+            whole.append(chr(point))
+    return [(mark, "".join(a), "".join(b)) for mark, (a, b) in sorted(found.items())]
 
 
-def masked_count(x: Column) -> Column:
-    """How many secrets masked() replaces, pattern after pattern."""
-    total = F.lit(0)
-    for pattern, instead in SECRETS:
-        total = total + F.regexp_count(x, F.lit(pattern))
-        x = F.regexp_replace(x, pattern, instead)
-    return total
+_COMPOSITIONS = _compositions()
 
 
-def figure_markers(x: Column) -> Column:
-    """Image references replaced by numbered markers, in order."""
-    parts = F.split(x, r"!\[[^\]]*\]\([^)]*\)", -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("[figure "), i.cast("string"), F.lit(" — non extraite]"), p))), "")
+def composed(x: Column) -> Column:
+    """Letters followed by a combining mark as the one character that means both, where there is one; other texts are not touched."""
 
+    def step(now: Column, m: Column) -> Column:
+        parts = F.split(now, m["mark"], -1)
 
-def flat_quote(x: Column) -> Column:
-    """A quotation without escapes, curly quotes, long dashes and special blanks, for comparison."""
-    for old, new in ((r"\\[nrt]", " "), (r'\\"', '"'), (r"\\/", "/"), (r"\\\\", r"\\")):
-        x = F.regexp_replace(x, old, new)
-    return collapse(F.translate(x, "“”«»‘’–—  ", "\"\"\"\"''--  "))
+        def joined(part: Column, i: Column) -> Column:
+            last = F.right(part, F.lit(1))
+            new = F.call_function("translate", last, m["letters"], m["whole"])
+            return F.when(i == F.size(parts) - 1, part).otherwise(F.concat(F.left(part, F.length(part) - 1), F.when(new != last, new).otherwise(F.concat(last, m["mark"]))))
+
+        return F.when(F.contains(now, m["mark"]), F.array_join(F.transform(parts, joined), "")).otherwise(now)
+
+    marks = F.array(*(F.struct(F.lit(m).alias("mark"), F.lit(a).alias("letters"), F.lit(b).alias("whole")) for m, a, b in _COMPOSITIONS))
+    return F.when(x.rlike("[\u0300-\u036f]"), F.aggregate(marks, x, step)).otherwise(x)
 
 
-def size_ladder_slice(size: Column, limit: int) -> Column:
-    return F.ceil(size / F.lit(limit))
+#: Escapes of JSON texts with what they stand for, in the order in which they are undone, and typographic signs with their plain ones.
+ESCAPES = ((r"\\[nrt]", " "), (r'\\"', '"'), (r"\\/", "/"), (r"\\\\", r"\\"))
+TYPOGRAPHIC, TYPED = "\u2019\u2018\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
+
+
+def flat_quote(x: Column) -> Column:
+    """A quotation in composed letters, without escapes, curly quotes, long dashes and special blanks, for comparison."""
+    x = composed(x)
+    for old, new in ESCAPES:
+        x = F.when(F.contains(x, F.lit("\\")), F.regexp_replace(x, old, new)).otherwise(x)
+    return collapse(F.translate(x, TYPOGRAPHIC, TYPED))

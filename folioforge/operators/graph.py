@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import secrets as secrets_in
 from ..functions import text as T
 
 #: The layers in their order.
@@ -15,7 +16,6 @@ FENCED = r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*|\z)"
 IMPOSSIBLE = r'["{\[,]'
 CONFLICT = r"( \(\d+\)\.md$)|conflit"
 SECRET_PATH = r"(?i)(^|/)(\.env|\.[^/]*_token|[^/]*token[^/]*|[^/]*secret[^/]*|[^/]*credential[^/]*|[^/]*\.pem|[^/]*\.key|id_rsa[^/]*|[^/]*\.p12)$"
-SECRET_TEXT = r"(?i)\b(?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*\S+|\bsk-[a-z0-9_-]{16,}|\bghp_[a-z0-9]{20,}|\bxox[abprs]-[a-z0-9-]{10,}"
 
 
 def notes(documents: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def same_names(pages: DataFrame) -> DataFrame:
 
 def secrets(pages: DataFrame) -> DataFrame:
     """(doc_id, by_path, in_text): notes named like or holding credentials; values are not shown."""
-    by_path, in_text = F.col("relative_path").rlike(SECRET_PATH), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SECRET_TEXT))
+    by_path, in_text = F.col("relative_path").rlike(SECRET_PATH), secrets_in.found_count(F.coalesce("text", F.lit("")))
     return pages.select("doc_id", by_path.alias("by_path"), in_text.alias("in_text")).where("by_path or in_text > 0")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import secrets
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import hooks as H
 from ..sources.tables import table
+from . import planted
 from . import sqltext as S
 
 
@@ -16,6 +18,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.notes(table(spark, sf_dir, "documents", "doc_id", "directory", "relative_path", "text"))
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes with planted faults: the tables themselves have none of these kinds."""
+    return G.notes(planted.documents(table(spark, sf_dir, "documents", "doc_id", "directory", "relative_path", "text")))
+
+
 def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.links(_pages(spark, sf_dir)).select("doc_id", "raw", "target", "folder", "name", "impossible")
 
@@ -25,11 +32,11 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ambiguous_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.ambiguous_links(_pages(spark, sf_dir))
+    return G.ambiguous_links(_planted(spark, sf_dir))
 
 
 def false_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.false_links(_pages(spark, sf_dir))
+    return G.false_links(_planted(spark, sf_dir))
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_way_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.one_way_links(_pages(spark, sf_dir))
+    return G.one_way_links(_planted(spark, sf_dir))
 
 
 def unpaired_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +66,15 @@ def callout_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.same_names(_pages(spark, sf_dir))
+    return G.same_names(_planted(spark, sf_dir))
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.secrets(_pages(spark, sf_dir))
+    return G.secrets(_planted(spark, sf_dir))
 
 
 def conflict_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).where(F.col("relative_path").rlike(G.CONFLICT)).select("doc_id", "relative_path")
+    return _planted(spark, sf_dir).where(F.col("relative_path").rlike(G.CONFLICT)).select("doc_id", "relative_path")
 
 
 def empty_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +168,7 @@ _CALLOUTS = f"""kinds AS (
 ), callouts AS (
   SELECT doc_id, layer, kind, count(*) AS n, kind = 'question' AND layer IN ('enseignements', 'sources') OR kind = 'warning' AND layer = 'sources' AS misplaced FROM kinds GROUP BY doc_id, layer, kind)"""
 _SECRETS = f"""secrets AS (
-  SELECT doc_id, regexp_matches(relative_path, '{G.SECRET_PATH}') AS by_path, CAST(len(regexp_extract_all(coalesce(text, ''), '{G.SECRET_TEXT}')) AS INTEGER) AS in_text FROM pages)"""
+  SELECT doc_id, regexp_matches(relative_path, '{G.SECRET_PATH}') AS by_path, CAST(len(regexp_extract_all(coalesce(text, ''), '{secrets.FOUND}')) AS INTEGER) AS in_text FROM pages)"""
 
 QUERIES = {
     f.__name__: f
@@ -174,20 +181,20 @@ QUERIES = {
 ORACLE = {
     "wikilinks": f"WITH {LINKS} SELECT doc_id, raw, target, folder, name, impossible FROM parsed",
     "dangling_links": f"WITH {LINKS}, {_DANGLING} SELECT * FROM dangling",
-    "ambiguous_links": f"WITH {LINKS}, {_AMBIGUOUS} SELECT * FROM ambiguous",
-    "false_links": f"WITH {LINKS} SELECT doc_id, raw FROM parsed WHERE impossible",
+    "ambiguous_links": planted.over(f"WITH {LINKS}, {_AMBIGUOUS} SELECT * FROM ambiguous"),
+    "false_links": planted.over(f"WITH {LINKS} SELECT doc_id, raw FROM parsed WHERE impossible"),
     "orphan_pages": f"WITH {LINKS}, {_ORPHANS} SELECT * FROM orphans",
-    "one_way_links": f"""WITH {LINKS}, edges AS (SELECT DISTINCT vault, slug, name FROM parsed WHERE NOT impossible AND slug <> name)
+    "one_way_links": planted.over(f"""WITH {LINKS}, edges AS (SELECT DISTINCT vault, slug, name FROM parsed WHERE NOT impossible AND slug <> name)
 SELECT e.vault, e.slug, e.name FROM edges e WHERE EXISTS (SELECT 1 FROM pages p WHERE p.vault = e.vault AND p.slug = e.name)
-  AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.vault = e.vault AND b.slug = e.name AND b.name = e.slug)""",
+  AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.vault = e.vault AND b.slug = e.name AND b.name = e.slug)"""),
     "unpaired_layers": f"WITH {PAGES}, {_UNPAIRED} SELECT * FROM unpaired",
     "front_matter_defects": f"WITH {FRONT} SELECT doc_id, layer, missing, wrong_type, wrong_date, date FROM defects WHERE missing <> '' OR wrong_type OR wrong_date",
     "common_day_defects": f"WITH {FRONT} SELECT date, count(*) AS notes FROM defects WHERE wrong_date GROUP BY date",
     "callout_census": f"WITH {S.LINES}, {PAGES}, {_CALLOUTS} SELECT * FROM callouts",
-    "duplicate_names": f"""WITH {PAGES}, living AS (SELECT DISTINCT vault, layer || '/' || slug AS page, regexp_replace(regexp_replace(strip_accents(lower(slug)), '[-_ ]+', ' ', 'g'), 's\\b', '', 'g') AS normal FROM pages WHERE layer IN ('concepts', 'entites'))
-SELECT a.vault, a.page, b.page AS other FROM living a JOIN living b ON a.vault = b.vault AND a.normal = b.normal AND a.page < b.page""",
-    "secret_scan": f"WITH {PAGES}, {_SECRETS} SELECT * FROM secrets WHERE by_path OR in_text > 0",
-    "conflict_files": f"SELECT doc_id, relative_path FROM documents WHERE regexp_matches(relative_path, '{G.CONFLICT}')",
+    "duplicate_names": planted.over(f"""WITH {PAGES}, living AS (SELECT DISTINCT vault, layer || '/' || slug AS page, regexp_replace(regexp_replace(strip_accents(lower(slug)), '[-_ ]+', ' ', 'g'), 's$', '') AS normal FROM pages WHERE layer IN ('concepts', 'entites'))
+SELECT a.vault, a.page, b.page AS other FROM living a JOIN living b ON a.vault = b.vault AND a.normal = b.normal AND a.page < b.page"""),
+    "secret_scan": planted.over(f"WITH {PAGES}, {_SECRETS} SELECT * FROM secrets WHERE by_path OR in_text > 0"),
+    "conflict_files": f"WITH {planted.SQL} SELECT doc_id, relative_path FROM planted WHERE regexp_matches(relative_path, '{G.CONFLICT}')",
     "empty_notes": f"WITH {PAGES} SELECT doc_id, layer FROM pages WHERE coalesce({S.strip('text')}, '') = ''",
     "index_gaps": """WITH a AS (SELECT DISTINCT directory, relative_path FROM documents), b AS (SELECT DISTINCT directory, relative_path FROM markdown_chunks)
 SELECT directory, relative_path, 'hole' AS gap FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT directory, relative_path, 'dead' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import secrets
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import hooks as H
@@ -12,7 +13,7 @@ from ..operators import lexical
 from ..operators import semantic as V
 from ..operators.chunking import content_hash, normal_types
 from ..sources.tables import table
-from . import search
+from . import planted, search
 from . import sqltext as S
 from .graph import FRONT, LINKS
 
@@ -144,9 +145,9 @@ def provenance_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the notes with their secrets masked, and how many."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
-    return docs.select("doc_id", T.masked_count(F.col("text")).alias("secrets"), F.md5(T.masked(F.col("text"))).alias("masked_md5"))
+    """The notes, credentials planted in them, with these masked, and how many there were."""
+    docs = planted.documents(table(spark, sf_dir, "documents", "doc_id", "directory", "relative_path", "text"))
+    return docs.select("doc_id", secrets.masked_count(F.col("text")).alias("secrets"), F.md5(secrets.masked(F.col("text"))).alias("masked_md5"))
 
 
 def figure_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +182,24 @@ QUERIES = {
     )
 }
 
+def _masking() -> str:
+    """DuckDB has no lookahead: a value that opens like the mask is told by its first characters."""
+    fresh = r"""(?:"[^"]*"|'[^']*'|[^\s,;)}\]\["'][^\s,;)}\]]*|["'][^\s,;)}\]]+|\[[^\s,;)}\]s][^\s,;)}\]]*)"""
+    patterns = [
+        (rf"(?im)^(\s*(?:export\s+)?{secrets.NAME}\s*[:=]\s*)[^\n]+$", rf"\1{secrets.MASK}"),
+        (r"(?i)\b(authorization\s*:\s*(?:bearer|basic)\s+)(?:[^\s\[]\S*|\[[^\ss]\S*)", rf"\1{secrets.MASK}"),
+        (rf"(?i)\b({secrets.NAME}\s*[:=]\s*){fresh}", rf"\1{secrets.MASK}"),
+        *((p, secrets.MASK) for p in secrets.WHOLE),
+    ]
+    ctes = ["m0 AS (SELECT doc_id, text AS x, 0 AS n FROM planted)"]
+    for i, (pattern, instead) in enumerate(patterns):
+        p = pattern.replace("'", "''")
+        ctes.append(f"m{i + 1} AS (SELECT doc_id, regexp_replace(x, '{p}', '{instead}', 'g') AS x, n + len(regexp_extract_all(x, '{p}')) AS n FROM m{i})")
+    return f"WITH {planted.SQL}, {', '.join(ctes)} SELECT doc_id, CAST(n AS INTEGER) AS secrets, md5(x) AS masked_md5 FROM m{len(patterns)}"
+
+
 ORACLE = {
+    "secret_mask": _masking(),
     "cosine_topk": f"WITH {_COS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, directory ORDER BY score DESC, stored_id) AS INTEGER) AS rank FROM s) SELECT query, directory, stored_id, score, rank FROM r WHERE rank <= 5",
     "best_chunk_per_file": f"""WITH {_COS}, f AS (SELECT *, row_number() OVER (PARTITION BY query, directory, path ORDER BY score DESC, stored_id) AS nth FROM s),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, directory ORDER BY score DESC, stored_id) AS INTEGER) AS rank FROM f WHERE nth = 1) SELECT query, directory, path, stored_id, score, rank FROM r WHERE rank <= 5""",

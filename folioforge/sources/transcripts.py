@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import secrets
 from ..functions import text as T
 
 LINE = "type string, message struct<role: string, content: string>"
@@ -24,7 +25,7 @@ def turns(lines: DataFrame) -> DataFrame:
     texts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
     said = F.when(F.trim(raw).startswith("["), F.array_join(F.coalesce(texts, F.array().cast("array<string>")), "\n")).otherwise(raw)
     kept = read.select("line_no", F.coalesce("x.message.role", "x.type").alias("role"), T.strip(F.coalesce(said, F.lit(""))).alias("said"))
-    return kept.where("said != '' and not startswith(said, '<system-reminder>') and not startswith(said, '<local-command-')").withColumn("said", T.masked(F.col("said")))
+    return kept.where("said != '' and not startswith(said, '<system-reminder>') and not startswith(said, '<local-command-')").withColumn("said", secrets.masked(F.col("said")))
 
 
 def safe_id(raw: Column, size: int = 8) -> Column:
