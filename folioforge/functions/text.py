@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks and line ends as Python's str.strip and str.splitlines see them, for Java's regular expressions.
@@ -41,6 +41,11 @@ def lines(x: Column) -> Column:
     return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(x, f"(?:{NEWLINE})\\z", ""), NEWLINE, -1))
 
 
+def universal_lines(x: Column) -> Column:
+    """Every line end as a line feed, as files are read in text mode."""
+    return F.regexp_replace(x, "\r\n?", "\n")
+
+
 def fold(x: Column) -> Column:
     """Lower case without diacritics."""
     return F.translate(F.regexp_replace(F.lower(x), r"\p{Mn}+", ""), _ACCENTED, _PLAIN)
@@ -149,9 +154,18 @@ ESCAPES = ((r"\\[nrt]", " "), (r'\\"', '"'), (r"\\/", "/"), (r"\\\\", r"\\"))
 TYPOGRAPHIC, TYPED = "\u2019\u2018\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
 
 
-def flat_quote(x: Column) -> Column:
-    """A quotation in composed letters, without escapes, curly quotes, long dashes and special blanks, for comparison."""
-    x = composed(x)
+def flattened(x: Column) -> Column:
+    """A composed text without escapes, curly quotes, long dashes and special blanks, for comparison."""
     for old, new in ESCAPES:
-        x = F.when(F.contains(x, F.lit("\\")), F.regexp_replace(x, old, new)).otherwise(x)
+        x = F.regexp_replace(x, old, new)
     return collapse(F.translate(x, TYPOGRAPHIC, TYPED))
+
+
+def flat_quote(x: Column) -> Column:
+    """flattened() of any text: its letters are composed first."""
+    return flattened(composed(x))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns, each evaluated once: what is generated is not copied into the expressions that use it."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")).select("*", *(f"_once.{n}" for n in columns)).drop("_once")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.staging import written
-from .citations import fragments
+from .citations import PAGE_WORD, fragments
 from .graph import fronts
 
 
@@ -30,25 +30,25 @@ def archive_chain(pages: DataFrame) -> DataFrame:
 def in_pdf(found: DataFrame, pages: DataFrame, *by: str) -> DataFrame:
     """Citations (by..., quote, locator) with status and page, from the pages' texts (by..., page, text).
 
-    Status: no_text, out_of_range, absent, misplaced, unlocated, found. The page
-    is the first that holds the quotation's first part.
+    Status: no_text, empty, out_of_range, absent, misplaced, unlocated, found.
+    The page is the first that holds all of the quotation's parts.
     """
-    first = F.get(fragments(F.col("quote")), F.lit(0))
-    asked = found.withColumn("part", first).withColumn("wanted", F.nullif(F.regexp_extract(F.coalesce("locator", F.lit("")), r"(?i)p\.\s*(\d+)", 1), F.lit("")).cast("int"))
+    asked = T.once(T.once(found, said=T.composed(F.coalesce("quote", F.lit("")))), parts=fragments(F.col("said"))).drop("said").withColumn("wanted", F.when(F.lower("locator").startswith(PAGE_WORD), F.regexp_extract("locator", r"(\d+)$", 1).cast("int")))
     flat = pages.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page", T.flat_quote(F.col("text")).alias("flat")))).alias("sheets"))
     met = asked.join(flat, list(by), "left")
-    held = F.get(F.transform(F.filter("sheets", lambda s: F.position(F.col("part"), s["flat"]) > 0), lambda s: s["page"]), F.lit(0))
-    met = met.withColumn("page", held)
+    holding = F.filter("sheets", lambda s: F.forall("parts", lambda p: F.position(p, s["flat"]) > 0))
+    met = met.withColumn("on", F.transform(holding, lambda s: s["page"])).withColumn("page", F.get("on", F.lit(0)))
     blank = F.col("sheets").isNull() | ~F.exists("sheets", lambda s: s["flat"] != "")
     status = (
         F.when(blank, "no_text")
-        .when(F.col("wanted") > F.size("sheets"), "out_of_range")
+        .when(F.size("parts") == 0, "empty")
+        .when((F.col("wanted") > F.size("sheets")) | (F.col("wanted") < 1), "out_of_range")
         .when(F.col("page").isNull(), "absent")
         .when(F.col("wanted").isNull(), "unlocated")
-        .when(F.exists("sheets", lambda s: (s["page"] == F.col("wanted")) & (F.position(F.col("part"), s["flat"]) > 0)), "found")
+        .when(F.array_contains("on", F.col("wanted")), "found")
         .otherwise("misplaced")
     )
-    return met.withColumn("status", status).drop("part", "wanted", "sheets")
+    return met.withColumn("status", status).drop("parts", "wanted", "sheets", "on")
 
 
 def same_lines(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:

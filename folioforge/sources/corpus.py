@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pathlib import Path
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.graph import LAYERS
+from .staging import written
 
 #: Largest document and the kinds that the OCR service takes.
 OCR_BYTES = 50 * 1024 * 1024
@@ -21,23 +21,40 @@ class CorpusError(Exception):
     """A corpus or document that can't be read."""
 
 
+def by_path(uri: Column) -> Column:
+    """The path of a file's URI, its escapes undone; a plus sign is a plus sign."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(directory, relative_path, doc_ord, text) of every .md file below root, front matter left out.
 
-    Files are ordered by the parts of their paths. Spark's file sources pass over
-    names that start with a dot or an underscore.
+    Files are ordered by the parts of their paths: paths alone are sorted and
+    numbered, range by range, and the texts, which must be UTF-8, come to them by
+    a join. Spark's file sources pass over names that start with a dot or an
+    underscore.
     """
     base = Path(root).resolve()
     if not base.is_dir():
         raise CorpusError(f"not a directory: {root}")
     if not any(base.rglob("*.md")):
         return spark.createDataFrame([], "directory string, relative_path string, doc_ord int, text string")
-    read = spark.read.text(str(base), wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
-    path = F.udf(unquote, "string")(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(str(base))
+    path = by_path(F.col("path"))
     relative = F.substring(path, len(str(base)) + 2, 1_000_000)
-    rows = read.select(F.lit(str(root)).alias("directory"), relative.alias("relative_path"), T.without_front_matter(F.col("value")).alias("text"))
-    order = Window.partitionBy("directory").orderBy(F.split("relative_path", "/"))
-    return rows.withColumn("doc_ord", F.row_number().over(order) - 1).select("directory", "relative_path", "doc_ord", "text")
+    sane = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), path)))
+    texts = files.select(relative.alias("relative_path"), T.without_front_matter(T.universal_lines(sane)).alias("text"))
+    order = numbered(files.select(relative.alias("relative_path"), F.split(relative, "/").alias("parts")), "parts").select("relative_path", F.col("nth").cast("int").alias("doc_ord"))
+    return texts.join(order, "relative_path").select(F.lit(str(root)).alias("directory"), "relative_path", "doc_ord", "text")
+
+
+def numbered(df: DataFrame, *by: str) -> DataFrame:
+    """The rows with nth, their number from 0 in the order of ``by``: ranges are sorted apart, and their sizes, one row each, give where they start."""
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
+    held = written(parts.withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    starts = held.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = starts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    return held.join(F.broadcast(before.drop("_n")), "_part").withColumn("nth", F.col("_start") + F.col("_row") - F.col("_first")).drop("_part", "_row", "_first", "_start")
 
 
 def index_targets(root: str) -> list[str]:

@@ -67,7 +67,7 @@ def test_turns(spark):
     ]
     raw = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)] + [(9, "{broken"), (10, None)], "line_no int, value string")
     got = transcripts.turns(raw).orderBy("line_no").collect()
-    assert [(r.role, r.said) for r in got] == [("user", "bonjour token: [secret masqué]"), ("assistant", "un\ndeux")]
+    assert [(r.role, r.said) for r in got] == [("user", "bonjour token: [secret masqué par le hook]"), ("assistant", "un\ndeux")]
     note = transcripts.session_notes(transcripts.turns(raw).withColumn("session", F.lit("s"))).first()
     assert note.turns == 2 and note.note.startswith("## user\n\nbonjour")
 
