@@ -68,9 +68,15 @@ def body_lines(all_lines: Column) -> Column:
     return F.slice(all_lines, taken + 1, F.greatest(F.size(all_lines) - taken, F.lit(0)))
 
 
+#: Blanks that may stand beside other signs on one line, and closed front matter at the start of a text, with its last line end.
+_BESIDE = r"[\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+FRONT_MATTER = rf"(?s)\A{_BESIDE}---{_BESIDE}(?:{NEWLINE})(?:.*?(?:{NEWLINE}))??{_BESIDE}---{_BESIDE}(?:{NEWLINE}|\z)"
+
+
 def without_front_matter(x: Column) -> Column:
     """The text behind closed front matter; any other text to the byte."""
-    return F.when(front_matter_lines(lines(x)) > 0, F.array_join(body_lines(lines(x)), "\n")).otherwise(x)
+    behind = F.regexp_replace(x, FRONT_MATTER, "")
+    return F.when(F.substring(x, 1, 200).rlike(f"^{_BESIDE}---") & (F.length(behind) < F.length(x)), F.array_join(lines(behind), "\n")).otherwise(x)
 
 
 def heading_title(line: Column) -> Column:

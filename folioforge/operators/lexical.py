@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,42 +11,58 @@ from ..sources.staging import written
 K1, B = 1.2, 0.75
 #: What replaces the weight of a word that stands in half of a directory's documents or more.
 LEAST_WEIGHT = 1e-6
+#: Words asked are broadcast while they have at most so many characters together.
+BROADCAST_CHARS = 16_000_000
+
+
+def question_parts(question: Column) -> Column:
+    """A question's words, each as its folded tokens with a blank between: a word with underscores is a phrase of what they part."""
+    return F.filter(F.transform(F.regexp_extract_all(question, F.lit(r"[\p{L}\p{N}\p{Mn}_]+"), F.lit(0)), lambda w: F.array_join(T.tokens(w), " ")), lambda w: w != "")
 
 
 def question_words(questions: DataFrame) -> DataFrame:
-    """(query_id, directory, word, times): the folded words of (query_id, directory, question); a repeated word counts as often."""
-    return questions.select("query_id", "directory", F.explode(T.tokens(F.col("question"))).alias("word")).groupBy("query_id", "directory", "word").agg(F.count(F.lit(1)).alias("times"))
+    """(query_id, directory, word, times): the words of (query_id, directory, question); a repeated word counts as often."""
+    return questions.select("query_id", "directory", F.explode(question_parts(F.col("question"))).alias("word")).groupBy("query_id", "directory", "word").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _occurrences(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """(directory, doc, length, word, tf): what the documents hold of the words asked of their directory, and a row with a null word for each document.
+
+    One narrow pass over the texts: tokens, and runs of tokens where phrases are
+    asked, meet the words by their first characters, and only those that start
+    with a word, counted map-side, are shuffled.
+    """
+    sizes = asked.agg(F.sum(F.length("word") + F.length("directory")).alias("chars"), F.min(F.least(F.length("word"), F.lit(3))).alias("width"), F.collect_set(F.size(F.split("word", " "))).alias("runs")).first()
+    width, runs = sizes["width"] or 1, sorted(sizes["runs"]) or [1]
+    tokens = documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+    def grams(n: int) -> Column:
+        if n == 1:
+            return F.col("tokens")
+        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, F.lit(n)), " "))
+
+    terms = F.concat(F.array(F.lit(None).cast("string")), *(grams(n) for n in runs))
+    rows = tokens.select("directory", "doc", F.size("tokens").alias("length"), F.explode(terms).alias("term"))
+    # a document's own row meets no word, and is spread where the join is by a shuffle
+    head = F.coalesce(F.substring(F.col("term"), F.lit(1), F.lit(width)), F.concat(F.lit("\0"), F.pmod(F.hash("doc"), F.lit(997)).cast("string")))
+    wanted = asked.select("directory", "word").distinct().select(F.col("directory").alias("of"), "word", F.substring(F.col("word"), F.lit(1), F.lit(width)).alias("opening"), F.size(F.split("word", " ")).alias("n"))
+    side = F.broadcast(wanted) if (sizes["chars"] or 0) <= BROADCAST_CHARS else wanted
+    met = rows.withColumn("head", head).join(side, (F.col("directory") == F.col("of")) & (F.col("head") == F.col("opening")) & F.startswith("term", "word") & (F.size(F.split("term", " ")) == F.col("n") if len(runs) > 1 else F.lit(True)), "left")
+    return met.where("term is null or word is not null").groupBy("directory", "doc", "length", "word").agg(F.count("term").alias("tf"))
 
 
 def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, directory, doc, score) of every document that holds a word of the question.
 
-    documents: (directory, doc, text), null texts as empty. Each text is cut to
-    words once, counts are made map-side before anything is shuffled, and the
-    postings, which three joins use, are written to the shared folder. Words
-    meet prefixes among a directory's distinct words only, by their first two
-    characters as a hash key, not by comparing all with all.
+    documents: (directory, doc, text), null texts as empty. What the words asked
+    find is written to the shared folder, as counts of documents, weights and
+    scores all use it; nothing else of the texts is.
     """
-    counted = written(
-        documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-        .select("directory", "doc", F.size("words").alias("length"), F.explode_outer("words").alias("word"))
-        .groupBy("directory", "doc", "length", "word")
-        .agg(F.count("word").alias("tf")),
-        "postings",
-    )
-    held = counted.select("directory", "doc", "length").distinct().groupBy("directory").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     wanted = question_words(questions)
-    # words of one character match all that start with it: their key is that character
-    asked = wanted.select("directory", "word").distinct().withColumn("width", F.least(F.length("word"), F.lit(2)))
-    vocabulary = counted.where("word is not null").select("directory", F.col("word").alias("term")).distinct().withColumn("width", F.explode(F.array(F.lit(1), F.lit(2))))
-    matched = (
-        vocabulary.withColumn("head", F.substring(F.col("term"), F.lit(1), F.col("width")))
-        .join(asked.withColumn("head", F.substring(F.col("word"), F.lit(1), F.col("width"))), ["directory", "width", "head"])
-        .where(F.col("term").startswith(F.col("word")))
-        .select("directory", "word", "term")
-    )
-    postings = counted.select("directory", "doc", "length", F.col("word").alias("term"), "tf")
-    found = postings.join(matched, ["directory", "term"]).groupBy("directory", "word", "doc", "length").agg(F.sum("tf").alias("tf"))
+    counted = written(_occurrences(documents, wanted), "found")
+    held = counted.where("word is null").groupBy("directory").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    found = counted.where("word is not null")
     seen = found.groupBy("directory", "word").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = seen.join(held, "directory").withColumn("weight", F.when(weight > 0, weight).otherwise(F.lit(LEAST_WEIGHT)))

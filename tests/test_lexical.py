@@ -35,6 +35,11 @@ def test_ties_and_top(spark):
     assert [d for d, _ in search(spark, files, "kryptonite", 3)] == ["0.md", "1.md", "2.md"]
 
 
+def test_shuffled_questions(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_CHARS", 0)
+    assert [d for d, _ in search(spark, [("a.md", "un quai"), ("b.md", None), ("c.md", "quais")], "quai un_quai")] == ["a.md", "c.md"]
+
+
 def test_empty(spark):
     assert search(spark, [("a.md", None), ("b.md", "")], "mot") == []
     assert search(spark, [("a.md", "mot")], "???") == []
@@ -49,7 +54,7 @@ def test_same_as_fts5(spark):
     except sqlite3.OperationalError:
         pytest.skip("no fts5 here")
     base.executemany("insert into t values (?, ?)", files)
-    for question in ("réserve relance", "quai comptable quai", "é z", "le la"):
+    for question in ("réserve relance", "quai comptable quai", "é z", "le la", "au_quai comp", "la_relance_du r", "_quai_ absent_x", "l_épee le"):
         match = " OR ".join(f'"{w}"*' for w in question.split())
         want = {d: -s for d, s in base.execute("select doc, bm25(t) from t where t match ?", (match,))}
         got = dict(search(spark, files, question, 100))
