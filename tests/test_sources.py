@@ -46,11 +46,40 @@ def test_pdf(spark):
     assert [(p.path, p.page, p.text) for p in pages] == [("0.pdf", 1, "Bonjour (vous)\ndeux mots"), ("0.pdf", 2, "Abc�\nforme")]
     assert (pages[1].drawn, pages[1].known) == (9, 8)
     pics = pdf.pdf_images(files(spark, bytearray(PDF))).orderBy("object").collect()
-    assert [(p.object, p.kind) for p in pics] == [(11, "png"), (12, "jpg")] and bytes(pics[0].file[:4]) == b"\x89PNG"
+    assert [(p.object, p.kind) for p in pics] == [(11, "png"), (12, "jpg"), (13, "small")] and bytes(pics[0].file[:4]) == b"\x89PNG"
     signed = pdf.pdf_signatures(files(spark, bytearray(PDF))).orderBy("object").collect()
     assert [(s.object, s.signed, s.name, s.date, s.whole) for s in signed] == [(14, True, "Jean", "2024-01-02 03:04:05 UTC", False), (15, False, "", "", False)]
 
 
+def test_pdf_matrices_and_maps(spark):
+    """Lines by the page's and the text's scale, ranges that list their texts, objects inside object streams, images of other colour spaces."""
+    inner = b"20 0 21 40 << /Type /Font /Subtype /Type1 >>         << /Subtype /Type0 /ToUnicode 22 0 R >>"
+    first = inner.index(b"<<")
+    packed = zlib.compress(inner.replace(b"20 0 21 40 ", b"20 0 21 %d " % (inner.index(b"<< /Subtype") - first)))
+    file = make_pdf(
+        {
+            1: b"<< /Type /Catalog /Pages 2 0 R >>",
+            2: b"<< /Type /Pages /Kids [3 0 R 3 0 R] >>",
+            3: b"<< /Type /Page /Contents [4 0 R] /Resources << /Font << /A 20 0 R /B 21 0 R >> >> >>",
+            4: stream(b"0.1 0 0 0.1 0 0 cm BT /A 1 Tf 1 0 0 1 0 700 Tm (un) Tj 0 -4 Td (e) Tj 0 -90 Td (deux % \\(x\\) \\351) Tj T* ET BI /W 1 ID (z) Tj EI q 1 0 0 5 0 0 cm BT /B 2 Tf 1 0 0 3 0 50 Tm <00010002> Tj 0 -1 Td <0003> Tj ET Q"),
+            5: b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >> stream\n" % (first, len(packed)) + packed + b"\nendstream",
+            22: stream(b"2 beginbfrange <0001> <0002> [<0058> <00590059>] <0003> <0003> <005A> endbfrange"),
+            30: stream(bytes(300 * 200), b"/Subtype /Image /Width 300 /Height 200 /ColorSpace [/ICCBased 31 0 R]"),
+            31: b"<< /N 1 >>",
+            32: stream(bytes(300 * 200 * 4), b"/Subtype /Image /Width 300 /Height 200 /ColorSpace /DeviceCMYK"),
+            33: b"<< /Subtype /Image /Width 300 /Height 200 /ImageMask true >> stream\nx\nendstream",
+            34: b"<< /Type /Sig /SubFilter /adbe.x /ByteRange [0 1 2 9999999] /M (D:2024) >>",
+            35: b"<< /Type /Sig /ByteRange [0 1 2 3] /Name <FEFF00C9> >>",
+        }
+    )
+    pages = pdf.page_texts(file)
+    assert [p[0] for p in pages] == ["une\ndeux % (x) é\nXYY\nZ"]
+    assert [(n, kind) for n, kind, *_ in pdf.images(file)] == [(30, "png"), (32, "failed")]
+    assert [(s[0], s[2], s[6], s[7], s[8]) for s in pdf.signatures(file)] == [(34, "", "2024-01-01 00:00:00", "adbe.x", True), (35, "É", "", "", True)]
+    for cut in range(0, len(file), 97):
+        pdf.page_texts(file[:cut]), pdf.images(file[:cut]), pdf.signatures(file[:cut])
+
+
 def test_text_status(spark):
     rows = [("a", "x" * 500, 100, 100), ("b", "x" * 100, 10, 10), ("c", "x" * 250, 9, 9), ("c", "", 0, 0), ("d", "x" * 900, 100, 90)]
     pages = spark.createDataFrame(rows, "path string, text string, drawn int, known int")
