@@ -5,15 +5,16 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunking, lexical, semantic
 from .operators.semantic import SemanticIndexError
-from .providers import describe, embedded, resolve
+from .providers import PROVIDERS, ProviderError, describe, embedded, resolve
 from .sources import index_store
-from .sources.corpus import CorpusError, index_targets, read_corpus
+from .sources.corpus import OCR_BYTES, CorpusError, index_targets, joined_pages, numbered, ocr_requests, read_corpus
 
 DEFAULT_TOP = 5
 
@@ -83,8 +84,8 @@ def semantic_index_build(spark: SparkSession, directory: str, provider: str = "l
         pending = joined.where("old is null").select("hash", chunking.embedding_text(F.col("section"), F.col("embedding")).alias("text")).dropDuplicates(["hash"])
         fresh = embedded(pending, "hash", "text", engine).withColumnRenamed("key", "hash")
         now = datetime.now(UTC).isoformat()
-        done = joined.join(fresh, "hash", "left").select(
-            F.row_number().over(_corpus_order()).alias("ord"), F.col("key").alias("path"), "section", "hash", F.coalesce("old.created_at", F.lit(now)).alias("created_at"), "excerpt", F.coalesce("old.vector", "vector").alias("vector"), F.col("old").isNull().alias("new")
+        done = numbered(joined.join(fresh, "hash", "left"), "doc_ord", "section_ord", "piece_ord").select(
+            (F.col("nth") + 1).alias("ord"), F.col("key").alias("path"), "section", "hash", F.coalesce("old.created_at", F.lit(now)).alias("created_at"), "excerpt", F.coalesce("old.vector", "vector").alias("vector"), F.col("old").isNull().alias("new")
         )
         done = done.persist()
         if done.where(F.size("vector") != engine.dimension).limit(1).count():
@@ -98,10 +99,6 @@ def semantic_index_build(spark: SparkSession, directory: str, provider: str = "l
         cut.unpersist()
 
 
-def _corpus_order():
-    return Window.orderBy("doc_ord", "section_ord", "piece_ord")
-
-
 def semantic_search(spark: SparkSession, question: str, directories: list[str], top_k: int = DEFAULT_TOP, per_file: bool = True) -> list[dict]:
     """The best files of each directory by cosine; fails as a whole where an index is missing or under another contract."""
     if not directories:
@@ -137,6 +134,57 @@ def semantic_info(spark: SparkSession, directory: str) -> dict:
     return found[0] if found else {"index": None, "message": f"{directory} has no index"}
 
 
+class DocumentOcrError(Exception):
+    """A document that can't be converted."""
+
+
+def converted(spark: SparkSession, files: DataFrame, provider: str) -> DataFrame:
+    """(path, markdown, pages, model, refusal) of binary files (path, length, content), each read by the provider's OCR on an executor.
+
+    A file of another kind or over the size limit is refused and not sent.
+    """
+    engine = resolve(provider)
+    asked = ocr_requests(files).select("path", "payload.type", "payload.uri", "refusal")
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, kind, uri, refusal in f.itertuples(index=False):
+                done = engine.ocr({"type": kind, kind: uri}) if refusal is None else None
+                rows.append((path, done and done["pages"], done and done["model"], refusal))
+            yield pd.DataFrame(rows, columns=["path", "page_markdowns", "model", "refusal"])
+
+    read = asked.mapInPandas(run, "path string, page_markdowns array<string>, model string, refusal string")
+    pages = F.transform("page_markdowns", lambda p, i: F.struct(i.alias("index"), p.alias("markdown")))
+    return read.select("path", joined_pages(pages).alias("markdown"), F.size("page_markdowns").alias("pages"), "model", "refusal")
+
+
+def ocr_convert(spark: SparkSession, document: str, output: str | None = None, provider: str | None = None) -> dict:
+    """One document to one Markdown file, beside it unless told otherwise; an older one is written over."""
+    path = Path(document)
+    if not path.is_file():
+        raise DocumentOcrError(f"no such file: {document}")
+    able = [n for n, p in PROVIDERS.items() if getattr(p, "ocr_model", None)]
+    if provider is None and not able:
+        raise DocumentOcrError("no provider with OCR is registered")
+    try:
+        files = spark.createDataFrame([(str(path), path.stat().st_size, bytearray(path.read_bytes()) if path.stat().st_size <= OCR_BYTES else None)], "path string, length long, content binary")
+        done = converted(spark, files, provider or able[0]).first()
+    except ProviderError as trouble:
+        raise DocumentOcrError(f"OCR failed: {trouble}; no other provider is tried") from trouble
+    except Exception as trouble:
+        if "ProviderError" not in str(trouble):
+            raise
+        reason = next((x for x in str(trouble).splitlines() if "ProviderError" in x), str(trouble))
+        raise DocumentOcrError(f"OCR failed: {reason.strip()}; no other provider is tried") from trouble
+    if done["refusal"]:
+        raise DocumentOcrError(f"{document}: {'kind not taken' if done['refusal'] == 'kind' else 'larger than the service takes'}")
+    target = Path(output) if output else path.with_suffix(".md")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(done["markdown"], encoding="utf-8")
+    return {"source_path": str(path), "output_path": str(target), "pages": done["pages"], "model": done["model"]}
+
+
 def llm_check() -> list[dict]:
     return describe()
 

@@ -12,6 +12,8 @@ from ..operators import hooks as H
 from ..operators import lexical
 from ..operators import semantic as V
 from ..operators.chunking import content_hash, normal_types
+from ..sources import index_store
+from ..sources.corpus import SLICE_BYTES, sliced
 from ..sources.tables import table
 from . import planted, search
 from . import sqltext as S
@@ -50,10 +52,10 @@ def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two copies of an index merged: those without and with a creation time, one chunk for each hash."""
-    stored = table(spark, sf_dir, "index_chunks", "directory", "hash", "stored_id", "created_at")
-    both = stored.where("created_at is null").unionByName(stored.where("created_at is not null"))
-    return both.groupBy("directory", "hash").agg(F.min("stored_id").alias("stored_id"))
+    """Two copies of every index merged: what has no creation time as the main copy, the rest as the other; one chunk for each hash."""
+    stored = table(spark, sf_dir, "index_chunks", "directory", "hash", "stored_id", "created_at").select(F.concat_ws("|", "directory", "hash").alias("hash"), F.col("stored_id").alias("ord"), "created_at")
+    both = index_store.merged_copies(stored.where("created_at is null").drop("created_at"), stored.where("created_at is not null").drop("created_at"))
+    return both.select(F.substring_index("hash", "|", 1).alias("directory"), F.substring_index("hash", "|", -1).alias("hash"), F.col("ord").alias("stored_id"))
 
 
 def index_contract_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +160,11 @@ def figure_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes by the number of readers that their size needs."""
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", size.alias("bytes"), F.greatest(F.lit(1), F.ceil(size / F.lit(20_000))).cast("int").alias("slices"))
+    """Each directory's notes, one a line, dealt to readers of 150 KiB: how many readers, and the bytes that the fullest has."""
+    text = F.coalesce("text", F.lit(""))
+    dealt = sliced(table(spark, sf_dir, "documents", "doc_id", "directory", "text").withColumn("text", text), "directory", "doc_id", "text")
+    by_slice = dealt.groupBy("directory", "slice").agg(F.sum(F.octet_length("text") + 1).alias("bytes"))
+    return by_slice.groupBy("directory").agg(F.countDistinct("slice").alias("slices"), F.max("bytes").alias("most"))
 
 
 _COS = """
@@ -207,7 +211,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, directory ORDER BY s
 SELECT h.directory, count(DISTINCT h.relative_path) AS files, count(*) AS chunks, count(*) FILTER (WHERE NOT coalesce(l.usable, false)) AS embedded_chunks, count(*) FILTER (WHERE coalesce(l.usable, false)) AS reused_chunks
 FROM hashed h LEFT JOIN last l ON h.directory = l.directory AND h.hash = l.hash AND l.nth = 1 GROUP BY h.directory""",
     "pending_chunks": f"WITH {_HASHED} SELECT DISTINCT directory, hash FROM hashed h WHERE NOT EXISTS (SELECT 1 FROM index_chunks i WHERE i.directory = h.directory AND i.hash = h.hash)",
-    "index_conflict_merge": "SELECT directory, hash, min(stored_id) AS stored_id FROM index_chunks GROUP BY directory, hash",
+    "index_conflict_merge": "SELECT directory, hash, coalesce(min(CASE WHEN created_at IS NULL THEN stored_id END), min(stored_id)) AS stored_id FROM index_chunks WHERE directory IS NOT NULL AND hash IS NOT NULL GROUP BY directory, hash",
     "index_contract_divergence": """WITH c AS (SELECT provider, model, dimension, count(*) AS n FROM index_meta GROUP BY ALL ORDER BY n DESC, provider, model, dimension LIMIT 1)
 SELECT m.directory, m.provider, m.model, m.dimension, m.version FROM index_meta m CROSS JOIN c
 WHERE m.provider IS DISTINCT FROM c.provider OR m.model IS DISTINCT FROM c.model OR m.dimension IS DISTINCT FROM c.dimension OR m.version <> 1""",
@@ -239,5 +243,6 @@ scanned AS (SELECT w.query_id, w.directory, h.relative_path FROM words w JOIN he
 SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.directory, s.directory) AS directory, coalesce(l.relative_path, s.relative_path) AS relative_path,
        CASE WHEN l.query_id IS NOT NULL AND s.query_id IS NOT NULL THEN 'both' WHEN s.query_id IS NOT NULL THEN 'scan' ELSE 'ranking' END AS origin
 FROM logged l FULL JOIN scanned s ON l.query_id = s.query_id AND l.directory = s.directory AND l.relative_path = s.relative_path""",
-    "size_slices": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS INTEGER) AS bytes, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 20000.0)) AS INTEGER) AS slices FROM documents",
+    "size_slices": f"""WITH d AS (SELECT directory, strlen(coalesce(text, '')) + 1 AS n, coalesce(sum(strlen(coalesce(text, '')) + 1) OVER (PARTITION BY directory ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+s AS (SELECT directory, before // {SLICE_BYTES} AS slice, sum(n) AS bytes FROM d GROUP BY ALL) SELECT directory, count(*) AS slices, CAST(max(bytes) AS BIGINT) AS most FROM s GROUP BY directory""",
 }

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import new_path
+from ..sources.staging import is_file, new_path
 from ..streaming import jobs
 
 
@@ -15,7 +13,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of files; one that is a single file is watched for in its folder."""
     path = f"{sf_dir}/{name}.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema)
-    if Path(path).is_file():
+    if is_file(spark, path):
         return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return stream.parquet(path)
 
@@ -24,7 +22,7 @@ def stream_changed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk hash of a directory once, however often and late the feed shows it."""
     store = new_path(spark, "changed")
     jobs.changed_chunks(spark, _stream(spark, sf_dir, "chunk_feed"), store, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(f"{store}/batch=*").select("directory", "hash")
+    return spark.read.parquet(store).select("directory", "hash")
 
 
 def stream_daily_log(spark: SparkSession, sf_dir: str) -> DataFrame:

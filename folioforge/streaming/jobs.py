@@ -8,7 +8,6 @@ that the caller names, so a job goes on where it stopped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,25 +17,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import hooks, lexical
 from ..operators.incremental import version_of
+from ..sources.staging import folders
 
 SEEN_DAYS = 7
 SHOWN = 3
+#: Parts of the store of changed chunks.
+BUCKETS = 16
 
 
 def changed_chunks(spark: SparkSession, feed: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Append each (directory, hash) of the feed to the store once, with the batch that brought it.
 
     A batch that is run again after a failure writes its own folder again, and
-    is compared with the other batches' only, so nothing is lost or doubled.
+    is compared with the other batches' only, so nothing is lost or doubled. The
+    store is cut into buckets by the hash: a batch reads those that its own
+    records fall in.
     """
-    schema = "directory string, hash string"
+    schema = "directory string, hash string, bucket int, batch int"
 
     def step(batch: DataFrame, number: int) -> None:
-        known = [str(p) for p in Path(store).glob("batch=*") if p.name != f"batch={number}"]
-        new = batch.select("directory", version_of(F.col("hash")).alias("hash")).where("directory is not null and hash is not null").distinct()
-        if known:
-            new = new.join(spark.read.schema(schema).parquet(*known), ["directory", "hash"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        new = batch.select("directory", version_of(F.col("hash")).alias("hash")).where("directory is not null and hash is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int"))
+        if any(n != str(number) for n in folders(spark, store, "batch")):
+            known = spark.read.schema(schema).parquet(store).where(F.col("batch") != number).drop("batch")
+            new = new.join(known, ["bucket", "directory", "hash"], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
 
     return feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -83,11 +87,10 @@ def latest_transcripts(turns: DataFrame, sink: str, checkpoint: str) -> Streamin
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = sorted(Path(sink).glob("version=*"), key=lambda p: int(p.name.partition("=")[2]))
-        before = [p for p in before if int(p.name.partition("=")[2]) < number]
+        before = {int(v): p for v, p in folders(spark, sink, "version").items() if int(v) < number}
         rows = batch.select("day", "session", "turns", "note")
         if before:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(str(before[-1])))
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(before[max(before)]))
         best = rows.groupBy("day", "session").agg(F.max_by(F.struct("turns", "note"), "turns").alias("x"))
         best.select("day", "session", "x.turns", "x.note").write.mode("overwrite").parquet(f"{sink}/version={number}")
 

@@ -1,10 +1,13 @@
+import json
 import math
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge import api
+from folioforge import api, providers
 from folioforge.operators import semantic as V
 from folioforge.sources import index_store
 
@@ -96,3 +99,69 @@ def test_lexical_call(spark, notes, tmp_path):
     for question, where in (("??? !!!", [notes]), ("mot", []), ("mot", [notes + "/absent"])):
         with pytest.raises(api.LexicalIndexError):
             api.lexical_search(spark, question, where)
+
+
+class _Service(BaseHTTPRequestHandler):
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.headers["Authorization"] != "Bearer geheim":
+            body, code = b"x" * 900, 429
+        elif self.path.endswith("/ocr"):
+            body, code = json.dumps({"pages": [{"index": 1, "markdown": "deux ![a](b)"}, {"index": 0, "markdown": asked["document"]["type"]}], "model": "m"}).encode(), 200
+        else:
+            body, code = json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 0.0]} for i, t in reversed(list(enumerate(asked["input"])))]}).encode(), 200
+        self.send_response(code)
+        self.send_header("Retry-After", "7")
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_hosted_provider(spark, tmp_path, monkeypatch):
+    """Answers in the order of their index, refusals before any call, failures as errors and never another provider."""
+    server = HTTPServer(("127.0.0.1", 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setattr(providers, "PROVIDERS", dict(providers.PROVIDERS))
+    monkeypatch.setattr(api, "PROVIDERS", providers.PROVIDERS)
+    hosted = providers.HttpProvider("hosted", f"http://127.0.0.1:{server.server_port}/v1/", "FOLIO_TEST_KEY", "m", 2, "o")
+    providers.register(hosted)
+    with pytest.raises(providers.ProviderError):
+        providers.resolve("hosted")
+    monkeypatch.setenv("FOLIO_TEST_KEY", "faux")
+    with pytest.raises(providers.ProviderError) as refused:
+        hosted.embed(["a"])
+    assert (refused.value.status, refused.value.retry_after) == (429, 7.0) and len(str(refused.value)) < 320
+    monkeypatch.setenv("FOLIO_TEST_KEY", "geheim")
+    assert hosted.embed(["a", "bbb"]) == [[1.0, 0.0], [3.0, 0.0]] and providers.retry_seconds("Wed, 21 Oct") is None
+    document = tmp_path / "scan.pdf"
+    document.write_bytes(b"%PDF")
+    done = hosted.ocr({"type": "document_url", "document_url": "data:"})
+    assert done["pages"] == ["document_url", "deux ![a](b)"]
+    monkeypatch.setattr(hosted, "base_url", "http://127.0.0.1:9/none")
+    with pytest.raises(providers.ProviderError):
+        hosted.embed(["a"])
+
+    class Reader:
+        name, ocr_model, model = "reader", "o", None
+
+        def configuration_issue(self):
+            return None
+
+        def ocr(self, payload):
+            return {"pages": [payload["type"], "deux ![a](b)"], "model": "m", "pages_processed": 2}
+
+    providers.register(Reader())
+    done = api.ocr_convert(spark, str(document), provider="reader")
+    assert done == {"source_path": str(document), "output_path": str(tmp_path / "scan.md"), "pages": 2, "model": "m"}
+    assert (tmp_path / "scan.md").read_text() == "document_url\n\ndeux [figure 1 — non extraite]\n"
+    with pytest.raises(api.DocumentOcrError):
+        api.ocr_convert(spark, str(document), provider="hosted")
+    with pytest.raises(api.DocumentOcrError):
+        api.ocr_convert(spark, str(tmp_path / "none.pdf"))
+    (tmp_path / "x.doc").write_bytes(b"x")
+    with pytest.raises(api.DocumentOcrError):
+        api.ocr_convert(spark, str(tmp_path / "x.doc"))
+    assert {x["name"]: x["base_url"] for x in api.llm_check()}["hosted"] == "http://127.0.0.1:9/none"
+    server.shutdown()
