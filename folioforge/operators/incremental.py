@@ -81,6 +81,8 @@ def replayed_runs(records: DataFrame, runs: DataFrame, broadcast_runs: int = BRO
     spread. The runs are counted, and broadcast while few.
     """
     spark = records.sparkSession
+    # normalised once, and in files by load time, so that a step reads those that its windows span
+    records = written(records.repartitionByRange("loaded"), "records")
     numbered = written(runs.withColumn("step", F.row_number().over(Window.partitionBy("key").orderBy("started", "run"))), "runs")
     size = numbered.agg(F.count(F.lit(1)).alias("runs"), F.max("step").alias("steps")).first()
     few = (lambda side: F.broadcast(side)) if size["runs"] <= broadcast_runs else (lambda side: side)
