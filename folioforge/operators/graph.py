@@ -123,10 +123,13 @@ def callouts(pages: DataFrame) -> DataFrame:
 
 
 def same_names(pages: DataFrame) -> DataFrame:
-    """Pairs of living pages of a vault whose slugs are one name but for case, accents, hyphens and plural."""
-    living = pages.where(F.col("layer").isin(*LIVING)).select("vault", F.concat_ws("/", "layer", "slug").alias("page"), T.normal_name(F.col("slug")).alias("normal")).distinct()
-    other = living.select("vault", "normal", F.col("page").alias("other"))
-    return living.join(other, ["vault", "normal"]).where("page < other").select("vault", "page", "other")
+    """(vault, page, other): pairs of living pages of a vault of which a name or alias is one but for case, accents, hyphens and final plural."""
+    living = pages.where(F.col("layer").isin(*LIVING))
+    page = F.concat_ws("/", "layer", "slug").alias("page")
+    declared = fronts(living, "aliases").where("aliases is not null").select("vault", page, F.explode(F.split(F.regexp_replace("aliases", r"[\[\]\"']", ""), ",")).alias("name"))
+    named = living.select("vault", page, F.col("slug").alias("name")).unionByName(declared).select("vault", "page", T.normal_name(F.trim("name")).alias("normal")).where("normal != ''").distinct()
+    other = named.select("vault", "normal", F.col("page").alias("other"))
+    return named.join(other, ["vault", "normal"]).where("page < other").select("vault", "page", "other").distinct()
 
 
 def secrets(pages: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entries, graph, incremental, index, search, streams, tracing
+from . import entries, graph, incremental, index, search, streams, tracing, vault
 
-_PARTS = (incremental, search, entries, graph, index, streams, tracing)
+_PARTS = (incremental, search, entries, graph, index, streams, tracing, vault)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
+
+
 FLAGSHIP = "bm25_top5"

@@ -191,14 +191,28 @@ SELECT e.vault, e.slug, e.name FROM edges e WHERE EXISTS (SELECT 1 FROM pages p
     "front_matter_defects": f"WITH {FRONT} SELECT doc_id, layer, missing, wrong_type, wrong_date, date FROM defects WHERE missing <> '' OR wrong_type OR wrong_date",
     "common_day_defects": f"WITH {FRONT} SELECT date, count(*) AS notes FROM defects WHERE wrong_date GROUP BY date",
     "callout_census": f"WITH {S.LINES}, {PAGES}, {_CALLOUTS} SELECT * FROM callouts",
-    "duplicate_names": planted.over(f"""WITH {PAGES}, living AS (SELECT DISTINCT vault, layer || '/' || slug AS page, regexp_replace(regexp_replace(strip_accents(lower(slug)), '[-_ ]+', ' ', 'g'), 's$', '') AS normal FROM pages WHERE layer IN ('concepts', 'entites'))
-SELECT a.vault, a.page, b.page AS other FROM living a JOIN living b ON a.vault = b.vault AND a.normal = b.normal AND a.page < b.page"""),
+    "duplicate_names": planted.over(f"""WITH {FRONT}, living AS (SELECT vault, layer || '/' || slug AS page, slug AS name FROM props WHERE layer IN ('concepts', 'entites')
+  UNION ALL SELECT vault, layer || '/' || slug, unnest(string_split(regexp_replace(aliases, '[\\[\\]"'']', '', 'g'), ',')) FROM props WHERE layer IN ('concepts', 'entites') AND aliases IS NOT NULL),
+named AS (SELECT DISTINCT vault, page, regexp_replace(regexp_replace(strip_accents(lower(trim(name))), '[-_ ]+', ' ', 'g'), 's$', '') AS normal FROM living)
+SELECT DISTINCT a.vault, a.page, b.page AS other FROM named a JOIN named b ON a.vault = b.vault AND a.normal = b.normal AND a.page < b.page AND a.normal <> ''"""),
     "secret_scan": planted.over(f"WITH {PAGES}, {_SECRETS} SELECT * FROM secrets WHERE by_path OR in_text > 0"),
     "conflict_files": f"WITH {planted.SQL} SELECT doc_id, relative_path FROM planted WHERE regexp_matches(relative_path, '{G.CONFLICT}')",
     "empty_notes": f"WITH {PAGES} SELECT doc_id, layer FROM pages WHERE coalesce({S.strip('text')}, '') = ''",
     "index_gaps": """WITH a AS (SELECT DISTINCT directory, relative_path FROM documents), b AS (SELECT DISTINCT directory, relative_path FROM markdown_chunks)
 SELECT directory, relative_path, 'hole' AS gap FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT directory, relative_path, 'dead' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "index_entries": f"WITH {FRONT} SELECT doc_id, vault, CAST(list_position({_LAYERS}, layer) AS INTEGER) AS layer_ord, '- [[' || slug || ']] — ' || coalesce(description, '') AS entry FROM props WHERE list_contains({_LAYERS}, layer)",
+    "condensed_map": f"""WITH RECURSIVE {PAGES}, named AS (SELECT DISTINCT vault, list_position({_LAYERS}, layer) AS section_ord, layer AS section, slug FROM pages WHERE list_contains({_LAYERS}, layer)),
+numbered AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY vault, section_ord) AS total, sum(length(slug) + 2) OVER (PARTITION BY vault, section_ord ORDER BY slug) AS upto FROM named WINDOW w AS (PARTITION BY vault, section_ord ORDER BY slug)),
+sections AS (SELECT vault, section_ord, section, total, list(slug ORDER BY nth) AS slugs, list(upto ORDER BY nth) AS sizes FROM numbered WHERE nth <= {H.MAP_BUDGET // 3} GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY vault ORDER BY section_ord) AS k, count(*) OVER (PARTITION BY vault) AS n FROM sections),
+start AS (SELECT vault, CAST({H.MAP_BUDGET} - sum(length(section) + 4) AS BIGINT) AS room FROM ordered GROUP BY vault),
+walk AS (
+  SELECT vault, CAST(0 AS BIGINT) AS k, room, '' AS line FROM start
+  UNION ALL SELECT vault, k, room - CASE WHEN shown > 0 THEN CAST(sizes[shown] AS BIGINT) ELSE 0 END,
+    '## ' || section || chr(10) || array_to_string(list_concat(slugs[1:shown], CASE WHEN total > shown THEN ['(+' || (total - shown) || ' autres)'] ELSE [] END), ', ')
+  FROM (SELECT w.vault, o.k, w.room, o.section, o.total, o.slugs, o.sizes, len([x for x in o.sizes if x <= greatest(0, w.room // (o.n - o.k + 1))]) AS shown FROM walk w JOIN ordered o ON w.vault = o.vault AND o.k = w.k + 1)
+)
+SELECT vault, string_agg(line, chr(10) ORDER BY k) AS map FROM walk WHERE k > 0 GROUP BY vault""",
     "layer_counts": f"WITH {PAGES} SELECT vault, layer, count(*) AS notes FROM pages GROUP BY vault, layer",
     "lint_counters": f"""WITH {FRONT}, {LINKS[len(PAGES) :].lstrip(", ")}, {_DANGLING}, {_AMBIGUOUS}, {_ORPHANS}, {_UNPAIRED}, {_CALLOUTS}, {_SECRETS}
 SELECT 'orphans' AS check_name, count(*) AS findings FROM orphans UNION ALL SELECT 'dangling', count(*) FROM dangling UNION ALL SELECT 'ambiguous', count(*) FROM ambiguous

@@ -153,9 +153,10 @@ def secret_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figure_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scanned pages joined, with numbered markers for their images."""
+    """Scanned pages joined, images planted in a third of them, with numbered markers in their place."""
     pages = table(spark, sf_dir, "ocr_responses", "response_id", "page_markdowns").where("page_markdowns is not null")
-    joined = pages.select("response_id", T.strip(F.array_join("page_markdowns", "\n\n")).alias("whole"))
+    pictured = F.transform("page_markdowns", lambda p, i: F.concat(p, F.when((F.col("response_id") + i) % 3 == 0, " ![img](a.png) et ![](b.png)").otherwise("")))
+    joined = pages.select("response_id", T.strip(F.array_join(pictured, "\n\n")).alias("whole"))
     return joined.select("response_id", F.regexp_count("whole", F.lit(r"!\[[^\]]*\]\([^)]*\)")).alias("figures"), F.md5(F.concat(T.figure_markers(F.col("whole")), F.lit("\n"))).alias("text_md5"))
 
 
@@ -204,6 +205,9 @@ def _masking() -> str:
 
 ORACLE = {
     "secret_mask": _masking(),
+    "figure_markers": f"""WITH w AS (SELECT response_id, {S.strip("array_to_string([page_markdowns[i] || CASE WHEN (response_id + i - 1) % 3 = 0 THEN ' ![img](a.png) et ![](b.png)' ELSE '' END for i in range(1, len(page_markdowns) + 1) if page_markdowns[i] IS NOT NULL], chr(10) || chr(10))")} AS whole FROM ocr_responses WHERE page_markdowns IS NOT NULL),
+c AS (SELECT response_id, whole, string_split_regex(whole, '!\\[[^\\]]*\\]\\([^)]*\\)') AS parts FROM w)
+SELECT response_id, CAST(len(parts) - 1 AS INTEGER) AS figures, md5(array_to_string([CASE WHEN i = 1 THEN parts[1] ELSE '[figure ' || (i - 1) || ' — non extraite]' || parts[i] END for i in range(1, len(parts) + 1)], '') || chr(10)) AS text_md5 FROM c""",
     "cosine_topk": f"WITH {_COS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, directory ORDER BY score DESC, stored_id) AS INTEGER) AS rank FROM s) SELECT query, directory, stored_id, score, rank FROM r WHERE rank <= 5",
     "best_chunk_per_file": f"""WITH {_COS}, f AS (SELECT *, row_number() OVER (PARTITION BY query, directory, path ORDER BY score DESC, stored_id) AS nth FROM s),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, directory ORDER BY score DESC, stored_id) AS INTEGER) AS rank FROM f WHERE nth = 1) SELECT query, directory, path, stored_id, score, rank FROM r WHERE rank <= 5""",

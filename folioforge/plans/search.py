@@ -123,23 +123,13 @@ ORACLE = {
 SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(length(body) AS INTEGER) AS body_chars, md5(body) AS body_md5 FROM rest""",
     "section_chunks": f"WITH {S.SECTIONS} SELECT doc_id, section_ord, section, CAST(length(content) AS INTEGER) AS chars, md5(content) AS content_md5 FROM sections WHERE content <> ''",
     "chunk_hash_excerpt": f"SELECT chunk_id, sha256(section || chr(10) || content) AS hash, {_EXCERPT} AS excerpt FROM markdown_chunks WHERE section IS NOT NULL AND content IS NOT NULL",
-    "callout_stripped_text": f"""
-WITH c AS (
-  SELECT chunk_id, content, coalesce(list_sort(list_distinct([x for x in [lower({S.strip("t")}) for t in excluded_callouts] if x <> ''])), []) AS types,
-         regexp_split_to_array(content, '{S.NEWLINE}') AS parts FROM markdown_chunks WHERE content IS NOT NULL
-), l AS (
-  SELECT chunk_id, types, unnest(parts) AS line, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM c
-), k AS (
-  SELECT *, lower({S.strip(f"regexp_extract(line, '^>[{S.WS}]*\\[!([^\\]]+)\\][-+]?', 1)")}) AS kind, regexp_matches(line, '^>[{S.WS}]*\\[![^\\]]+\\]') AS opening FROM l WHERE NOT (i = n AND line = '')
-), b AS (
-  SELECT *, sum(CASE WHEN opening OR NOT starts_with(line, '>') THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS block FROM k
-), o AS (
-  SELECT *, first_value(opening) OVER w AS block_opening, first_value(kind) OVER w AS block_kind FROM b WINDOW w AS (PARTITION BY chunk_id, block ORDER BY i)
-), r AS (
-  SELECT chunk_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM o WHERE NOT (block_opening AND list_contains(types, block_kind)) GROUP BY chunk_id
-)
-SELECT c.chunk_id, CAST(len(c.types) AS INTEGER) AS types, md5(CASE WHEN len(c.types) = 0 THEN c.content ELSE {S.strip("coalesce(r.kept, '')")} END) AS kept_md5
-FROM c LEFT JOIN r ON c.chunk_id = r.chunk_id""",
+    "callout_stripped_text": f"""WITH c AS (
+  SELECT chunk_id AS id, content, coalesce(list_sort(list_distinct([x for x in [lower({S.strip("t")}) for t in excluded_callouts] if x <> ''])), []) AS types FROM markdown_chunks WHERE content IS NOT NULL
+), {S.without_callouts("c")} SELECT c.id AS chunk_id, CAST(len(c.types) AS INTEGER) AS types, md5(s.kept) AS kept_md5 FROM c JOIN stripped s ON c.id = s.id""",
+    "chunk_ladder": f"""WITH {S.SECTIONS}, whole AS (SELECT doc_id || '/' || section_ord AS id, doc_id, section_ord, section, content FROM sections WHERE content <> ''), {S.ladder("whole")},
+cut AS (SELECT p.id || '/' || p.piece_ord AS id, w.doc_id, w.section_ord, w.section, p.piece_ord, p.piece AS content, ['source'] AS types FROM pieces p JOIN whole w ON p.id = w.id), {S.without_callouts("cut")}
+SELECT c.doc_id, c.section_ord, c.piece_ord, c.section, CAST(length(c.content) AS INTEGER) AS chars, sha256(c.section || chr(10) || s.kept) AS hash, {_EXCERPT} AS excerpt
+FROM cut c JOIN stripped s ON c.id = s.id WHERE s.kept <> ''""",
     "term_document_frequency": f"""WITH {S.LINES}, questions AS (SELECT 1 AS query_id, '' AS directory, '' AS question WHERE false), {_BM25}
 SELECT directory, term, count(DISTINCT doc) AS df FROM counted GROUP BY directory, term""",
     "bm25_top5": _bm25_sql("SELECT DISTINCT query_id, directory, question FROM lexical_results WHERE question IS NOT NULL AND directory IS NOT NULL", "query_id, directory", 5, "query_id, directory"),

@@ -19,8 +19,16 @@ def value_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.occurrences(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", LITERAL).withColumnRenamed("key", "doc_id")
 
 
+_CHAINS = ("origine: transcrit.md\noriginal: piece.pdf", "origine: transcrit.md", "original: piece.pdf")
+
+
 def archive_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.archive_chain(G.notes(table(spark, sf_dir, "documents", "doc_id", "directory", "relative_path", "text")))
+    """The notes' origins, front matter that names them planted in most."""
+    front = F.lit("")
+    for i, said in enumerate(_CHAINS):
+        front = F.when(F.col("doc_id") % 5 == i, F.lit(f"---\n{said}\n---\n")).otherwise(front)
+    docs = table(spark, sf_dir, "documents", "doc_id", "directory", "relative_path", "text")
+    return R.archive_chain(G.notes(docs.withColumn("text", F.concat(front, F.coalesce("text", F.lit(""))))))
 
 
 def _detached(chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -61,7 +69,12 @@ def near_duplicate_living_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (value_occurrences, archive_chain, near_duplicate_pages, near_duplicate_living_pages)}
 
+_FRONTED = " ".join(f"WHEN {i} THEN '---' || chr(10) || '" + x.replace("\n", "' || chr(10) || '") + "' || chr(10) || '---' || chr(10)" for i, x in enumerate(_CHAINS))
+
 ORACLE = {
+    "archive_chain": f"""WITH fronted AS (SELECT doc_id, directory, relative_path, CASE doc_id % 5 {_FRONTED} ELSE '' END || coalesce(text, '') AS text FROM documents), {S.LINES.replace("FROM documents", "FROM fronted")},
+named AS (SELECT doc_id, max(CASE WHEN starts_with(line, 'origine:') THEN nullif({S.strip("substring(line, 9)")}, '') END) AS origine, max(CASE WHEN starts_with(line, 'original:') THEN nullif({S.strip("substring(line, 10)")}, '') END) AS original FROM front GROUP BY doc_id)
+SELECT doc_id, origine AS transcription, coalesce(original, origine) AS piece, CASE WHEN original IS NULL THEN 'transcription' ELSE 'original' END AS kind FROM named WHERE origine IS NOT NULL""",
     "value_occurrences": f"""WITH {S.LINES}, w AS (SELECT strip_accents(lower('{LITERAL}')) AS x)
 SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(len(string_split(strip_accents(lower(line)), x)) - 1 AS INTEGER) AS times FROM ls CROSS JOIN w WHERE contains(strip_accents(lower(line)), x)""",
     "near_duplicate_pages": f"""
