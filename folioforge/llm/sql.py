@@ -1,5 +1,7 @@
 """DuckDB forms of the queries that SQL can express."""
 
+from ..plans import sqltext
+
 WORDS = "regexp_extract_all(strip_accents(lower(coalesce({text}, ''))), '[a-z0-9]+')"
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -35,6 +37,18 @@ UNION ALL
 SELECT 'markdown_chunks', chunk_id, CAST(0 AS INTEGER) FROM markdown_chunks WHERE length(trim(content, {BLANKS})) > 2000
 """
 
+_SECTIONS = P1[: P1.index("SELECT 'documents' AS item_table")].rstrip()
+PIECES = f"""{_SECTIONS}, titles AS (
+  SELECT doc_id, section_ord, trim(regexp_replace(any_value(line), '^[ \\t]*#+', ''), {BLANKS}) AS title FROM s WHERE heading GROUP BY doc_id, section_ord
+), parts AS (
+  SELECT 'documents' AS item_table, t.doc_id AS item_id, CAST(t.section_ord AS INTEGER) AS section_ord, h.title AS section, t.body AS content FROM t LEFT JOIN titles h ON t.doc_id = h.doc_id AND t.section_ord = h.section_ord
+  UNION ALL SELECT 'markdown_chunks', chunk_id, CAST(0 AS INTEGER), section, trim(content, {BLANKS}) FROM markdown_chunks WHERE content IS NOT NULL
+), whole AS (SELECT item_table || '/' || item_id || '/' || section_ord AS id, * FROM parts WHERE content <> ''), {sqltext.ladder("whole")},
+ranked AS (SELECT *, lag(piece) OVER (PARTITION BY id ORDER BY piece_ord) AS before FROM pieces)
+SELECT w.item_table, w.item_id, w.section_ord, w.section, CAST(length(w.content) AS INTEGER) AS section_chars, r.piece_ord, r.piece, CAST({sqltext.shared_words("before", "piece")} AS INTEGER) AS overlap_chars
+FROM ranked r JOIN whole w ON r.id = w.id
+"""
+
 P4 = """
 WITH v AS (
   SELECT stored_id AS id, CAST(vector AS DOUBLE[]) AS x FROM index_chunks
@@ -86,6 +100,16 @@ ig AS (SELECT item_id, unnest({_grams(13)}) AS g FROM i WHERE len(w) >= 13)
 SELECT DISTINCT dg.doc_id, ig.item_id FROM dg JOIN ig ON dg.g = ig.g
 """
 
+PASSAGES = f"""
+WITH d AS (SELECT DISTINCT doc_id AS id, {_words("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id AS id, {_words("text")} AS w FROM bench_items WHERE item_id IS NOT NULL),
+dg AS (SELECT id, unnest({_grams(13)}) AS g, unnest(range(0, len(w) - 12)) AS p FROM d WHERE len(w) >= 13),
+ig AS (SELECT id, unnest({_grams(13)}) AS g, unnest(range(0, len(w) - 12)) AS q FROM i WHERE len(w) >= 13),
+m AS (SELECT dg.id AS doc_id, ig.id AS item_id, p, q FROM dg JOIN ig ON dg.g = ig.g),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM m)
+SELECT doc_id, item_id, CAST(min(p) AS INTEGER) AS doc_start, CAST(min(q) AS INTEGER) AS item_start, CAST(count(*) + 12 AS INTEGER) AS n_words FROM r GROUP BY doc_id, item_id, p - q, run
+"""
+
 SHARES = f"""
 WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
 g AS (SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CASE WHEN len(w) >= 5 THEN {_grams(5)} ELSE [] END AS g FROM d)
@@ -100,4 +124,4 @@ g AS (SELECT doc_id, {_grams(5)} AS g FROM d WHERE len(w) >= 40)
 SELECT doc_id FROM g WHERE 1 - CAST(len(list_distinct(g)) AS DOUBLE) / len(g) >= 0.30
 """
 
-ORACLE = {"p1_found": P1, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_classes": P6_CLASSES, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}
+ORACLE = {"p1_found": P1, "p1_pieces": PIECES, "p9_passages": PASSAGES, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_classes": P6_CLASSES, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}
