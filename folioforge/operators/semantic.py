@@ -137,7 +137,11 @@ def require_contract(meta: DataFrame, directories: list[str], version: int = 1)
 
 
 def contract_divergence(meta: DataFrame) -> DataFrame:
-    """Indexes under another contract than most, or of another version: (directory, provider, model, dimension, version)."""
+    """Indexes under another contract than most, or of another version: (directory, provider, model, dimension, version).
+
+    A report over all of them; require_contract, which a search uses, compares
+    with the first directory asked.
+    """
     fields = ["provider", "model", "dimension"]
     common = meta.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *fields).limit(1).select(*(F.col(f).alias(f"common_{f}") for f in fields))
     differs = F.lit(False)

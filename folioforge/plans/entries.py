@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as C
 from ..functions import text as T
+from ..functions.secrets import MASK
 from ..operators import entries as E
+from ..sources import transcripts as X
 from ..sources.corpus import numbered
 from ..sources.staging import written
 from ..sources.tables import table
@@ -78,10 +80,15 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each note's entries as one transcript in order, a block a speaker turn."""
+    """Each note's entries as a conversation in JSON lines, credentials planted in some, and the note that the inbox gets of it."""
     said = E.entry_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "author", "said"))), lambda x: F.concat(F.lit("## "), x["author"], F.lit("\n\n"), x["said"]))
-    return said.groupBy("key").agg(F.count(F.lit(1)).alias("turns"), F.md5(F.array_join(turns, "\n\n")).alias("transcript_md5")).withColumnRenamed("key", "doc_id")
+    content = F.concat("said", F.when(F.col("line_no") % 3 == 0, " API_TOKEN=abc").otherwise(""))
+    line = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("author").alias("role"), content.alias("content")).alias("message")))
+    noise = F.explode(F.array(F.lit("{"), F.to_json(F.struct(F.lit("tool").alias("type"))), line))
+    lines = said.select(F.col("key").alias("session"), "line_no", noise.alias("value"))
+    spoken = X.turns(lines, "session")
+    notes = X.session_notes(spoken).withColumn("day", F.lit("2024-01-02").cast("date")).withColumn("session", F.col("session").cast("string"))
+    return X.inbox_notes(notes, "inbox/").select(F.regexp_extract("path", r"-(\d+)\.md$", 1).alias("session"), F.md5("text").alias("note_md5"))
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +380,8 @@ FROM x FULL JOIN y ON x.directory = y.directory AND x.relative_path = y.relative
     "canonical_entries": f"WITH {_ENTRIES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, moment, author, said FROM entries",
     "timeline": f"""WITH {_ENTRIES} SELECT string_split(directory, '/')[1] AS vault, CAST(row_number() OVER (PARTITION BY string_split(directory, '/')[1] ORDER BY moment, doc_id, line_no) AS INTEGER) AS nth,
        moment, doc_id, CAST(line_no AS INTEGER) AS line_no, author FROM entries WHERE moment IS NOT NULL""",
-    "session_transcript": f"WITH {_ENTRIES} SELECT doc_id, count(*) AS turns, md5(string_agg('## ' || author || chr(10) || chr(10) || said, chr(10) || chr(10) ORDER BY line_no)) AS transcript_md5 FROM entries GROUP BY doc_id",
+    "session_transcript": f"""WITH {_ENTRIES}, told AS (SELECT doc_id, line_no, '## ' || author || chr(10) || chr(10) || {S.strip("said || CASE WHEN line_no % 3 = 0 THEN ' API_TOKEN=" + MASK + "' ELSE '' END")} AS block FROM entries WHERE {S.strip("said || CASE WHEN line_no % 3 = 0 THEN ' x' ELSE '' END")} <> '')
+SELECT substring(CAST(doc_id AS VARCHAR), 1, 8) AS session, md5('---' || chr(10) || 'type: session' || chr(10) || 'date: 2024-01-02' || chr(10) || 'tours: ' || count(*) || chr(10) || '---' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY line_no) || chr(10)) AS note_md5 FROM told GROUP BY doc_id""",
     "citation_pointers": f"WITH {_CITED} SELECT doc_id, line, form, md5(quote) AS quote_md5, author, path, locator, original, original_locator FROM cited",
     "citation_locate": _located(False),
     "citation_self_locate": _located(True),
