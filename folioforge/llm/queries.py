@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import encode, leak, markup, neardup, neighbors, ocr, repeat, split, terms
 from .common import table, written
-from .sql import ORACLE
+from .sql import FRAME, ORACLE
 
 MIN_COSINE = 0.92
 
@@ -43,8 +43,10 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The branches that p2_clean takes out of the notes of a directory, with the pages that share them."""
-    return markup.removed_branches(_marked(spark, sf_dir))
+    """The branches that cleaning takes out, with the pages that share them: two notes in three have a frame planted around them, as the tables have none."""
+    frame = F.when(F.col("doc_id") % 3 != 0, f"{FRAME}\n").otherwise("")
+    notes = table(spark, sf_dir, "documents").withColumn("text", F.concat(frame, F.coalesce("text", F.lit(""))))
+    return markup.removed_branches(markup.items_of(notes, "documents", "doc_id", "directory", "text")).select("host", "path", "look", "pages")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,13 @@ SELECT w.item_table, w.item_id, w.section_ord, w.section, CAST(length(w.content)
 FROM ranked r JOIN whole w ON r.id = w.id
 """
 
+#: A page's frame that p2_removed plants.
+FRAME = '<nav class="menu"><p>Accueil</p> Plan du site</nav>'
+REMOVED = """
+SELECT coalesce(directory, '') AS host, unnest(['nav', 'nav>p']) AS path, unnest(['class=menu', '']) AS look, count(*) AS pages
+FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1 HAVING count(*) >= 12
+"""
+
 P4 = """
 WITH v AS (
   SELECT stored_id AS id, CAST(vector AS DOUBLE[]) AS x FROM index_chunks
@@ -124,4 +131,4 @@ g AS (SELECT doc_id, {_grams(5)} AS g FROM d WHERE len(w) >= 40)
 SELECT doc_id FROM g WHERE 1 - CAST(len(list_distinct(g)) AS DOUBLE) / len(g) >= 0.30
 """
 
-ORACLE = {"p1_found": P1, "p1_pieces": PIECES, "p9_passages": PASSAGES, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_classes": P6_CLASSES, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}
+ORACLE = {"p1_found": P1, "p2_removed": REMOVED, "p1_pieces": PIECES, "p9_passages": PASSAGES, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_classes": P6_CLASSES, "p9_found": P9, "p10_found": P10, "p10_rule": P10, "p10_shares": SHARES}
