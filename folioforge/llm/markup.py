@@ -507,7 +507,7 @@ def found_markup(items: DataFrame) -> DataFrame:
 
 
 def removed_branches(items: DataFrame) -> DataFrame:
-    """(host, path, look, pages, importance) of the branches that clean_items removes as noise."""
+    """(host, path, look, content, pages, importance) of the branches that clean_items removes as noise, each once; null texts hold none, an empty table gives none."""
     found = written(markup_nodes(items), "markup")
     tree = written(style_tree(found), "tree")
     gone = noise(found, tree)

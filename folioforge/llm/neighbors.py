@@ -336,7 +336,8 @@ def recall(df: DataFrame, item: str, vector: str, asking: str, k: int = K, dimen
     """One row (asked, wanted, found): of the exact k nearest rows of every asking row, how many nearest() finds.
 
     The asking rows meet all rows in blocks, by brute force; a neighbour as near
-    as the k-th counts as one of the k. Meant for a stated set of queries.
+    as the k-th counts as one of the k. Meant for a stated set of queries. Rows
+    that nearest() leaves out take no part; without any the numbers are 0.
     """
     rows = written(usable_vectors(df, item, vector, dimension).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
     asked = rows.where(asking)
