@@ -23,7 +23,7 @@ _PART = "[A-Za-z0-9_.-]*"
 NAME = f"{_PART}(?:{'|'.join(NAMED)}){_PART}"
 #: A value that is masked already is left alone.
 _FRESH = r"(?!\[secret)"
-#: Patterns in the order in which they apply; what the first group holds stays. Lines end with \n only.
+# The patterns in the order in which they apply; what the first group holds stays. Lines end with \n only.
 KEPT = (
     rf"(?imd)^(\s*(?:export\s+)?{NAME}\s*[:=]\s*)[^\n]+$",
     rf"(?i)\b(authorization\s*:\s*(?:bearer|basic)\s+){_FRESH}\S+",

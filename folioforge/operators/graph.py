@@ -101,6 +101,25 @@ def unpaired(pages: DataFrame) -> DataFrame:
     return both.select("vault", "slug", F.coalesce("in_sources", F.lit(False)).alias("in_sources"), F.coalesce("in_lessons", F.lit(False)).alias("in_lessons")).where("in_sources != in_lessons")
 
 
+def pairing_defects(pages: DataFrame) -> DataFrame:
+    """(vault, slug, defect) of the two origin layers: no_source, no_lesson, no_origin (a source that names no piece), and source_unlinked, lesson_unlinked where both are there and one does not link to the other by folder and name."""
+    both = pages.where(F.col("layer").isin(*ORIGIN)).groupBy("vault", "slug").agg(F.collect_set("layer").alias("layers"))
+    across = links(pages).where(F.col("layer").isin(*ORIGIN) & F.col("folder").isin(*ORIGIN) & (F.col("layer") != F.col("folder")) & (F.col("name") == F.col("slug")))
+    linked = across.groupBy("vault", "slug").agg(F.collect_set("layer").alias("linked"))
+    named = fronts(pages.where("layer = 'sources'"), "origine").groupBy("vault", "slug").agg(F.max(F.col("origine").isNotNull()).alias("named"))
+    met = both.join(linked, ["vault", "slug"], "left").join(named, ["vault", "slug"], "left")
+    has = lambda c, layer: F.coalesce(F.array_contains(c, layer), F.lit(False))
+    paired = has("layers", "sources") & has("layers", "enseignements")
+    defects = F.array(
+        F.when(~has("layers", "sources"), "no_source"),
+        F.when(~has("layers", "enseignements"), "no_lesson"),
+        F.when(paired & ~has("linked", "sources"), "source_unlinked"),
+        F.when(paired & ~has("linked", "enseignements"), "lesson_unlinked"),
+        F.when(has("layers", "sources") & ~F.coalesce("named", F.lit(False)), "no_origin"),
+    )
+    return met.select("vault", "slug", F.explode(F.array_compact(defects)).alias("defect"))
+
+
 def front_defects(pages: DataFrame) -> DataFrame:
     """Notes whose front matter lacks a property, names another layer's type, or another day than the file's prefix."""
     found = fronts(pages, *REQUIRED, "origine", "question")

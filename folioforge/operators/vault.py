@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +134,14 @@ def repair_verdict(claims: DataFrame, pieces: DataFrame) -> DataFrame:
     return met.withColumn("verdict", verdict).drop("_flat")
 
 
+def post_ingest(pages: DataFrame, touched: DataFrame) -> DataFrame:
+    """(doc_id, kind) of what the notes touched (doc_id) have wrong, each kind once: dangling, ambiguous and false links, credentials, lessons without a sub-heading."""
+    lessons = pages.where(F.col("layer") == "enseignements").where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*###+( |$)"))
+    checks = {"dangling": graph.dangling_links(pages), "ambiguous": graph.ambiguous_links(pages), "false": graph.false_links(pages), "secret": graph.secrets(pages), "one_block": lessons}
+    found = reduce(DataFrame.unionByName, (rows.select("doc_id", F.lit(kind).alias("kind")) for kind, rows in checks.items()))
+    return found.join(touched.select("doc_id"), "doc_id", "left_semi").distinct()
+
+
 def existing(expected: DataFrame, pages: DataFrame) -> DataFrame:
     """Expected notes (question, vault, slug, ...) with gone: whether the note has vanished, so that its question can't count."""
     here = pages.select("vault", "slug").distinct().withColumn("_here", F.lit(1))

@@ -12,9 +12,9 @@ from ..operators import chunking
 from ..operators import graph as G
 from ..operators import vault as V
 from ..sources.tables import table
-from . import graph
+from . import graph, planted
 from . import sqltext as S
-from .graph import PAGES
+from .graph import FRONT, PAGES
 
 _LAYER = "CASE WHEN {last} IN ('concepts', 'entites', 'syntheses', 'enseignements', 'sources') THEN {last} ELSE 'concepts' END"
 
@@ -170,6 +170,28 @@ def missing_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "directory").select(directory).distinct().join(held, "directory", "left_anti")
 
 
+def pairing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources, and lessons of the same name made for two of three of them, some with the links that both should have."""
+    pages = _pages(spark, sf_dir).where("layer = 'sources'")
+    ahead, back = (F.when(F.col("doc_id") % n == 0, F.concat(F.lit(f" [[{folder}/"), F.col("slug"), F.lit("]]"))).otherwise("") for n, folder in ((2, "enseignements"), (5, "sources")))
+    sources = pages.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), ahead))
+    lessons = pages.where("doc_id % 3 != 0").withColumn("text", F.concat(F.lit("leçon"), back)).withColumn("layer", F.lit("enseignements"))
+    alone = pages.where("doc_id % 7 = 0").withColumn("slug", F.concat("slug", F.lit("-seule"))).withColumn("layer", F.lit("enseignements"))
+    return G.pairing_defects(sources.unionByName(lessons).unionByName(alone))
+
+
+def post_ingest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every fourth note, taken as just written, has wrong, faults planted."""
+    pages = G.notes(planted.documents(table(spark, sf_dir, "documents", "doc_id", "directory", "relative_path", "text")))
+    return V.post_ingest(pages, pages.where("doc_id % 4 = 0"))
+
+
+def shown_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged results as a prompt shows them, and whether they are short enough to be quoted whole."""
+    hits = table(spark, sf_dir, "lexical_results", "query_id", "relative_path", "excerpt").where("excerpt is not null").distinct()
+    return hits.select("query_id", "relative_path", F.md5(V.shown_hit(F.col("excerpt"))).alias("shown_md5"), V.shown_quote(F.col("excerpt")).alias("whole")).distinct()
+
+
 #: The counters of a lint report, each with the check that it counts.
 COUNTED = {
     "contradictions": open_questions, "dangling": graph.dangling_links, "one_way": complement_links, "duplicates": graph.duplicate_names, "orphans": graph.orphan_pages, "index_gaps": index_check,
@@ -192,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vault_parasites, ghost_images, inbox_backlog, index_check, complement_links, current_sections, search_scope, neighbour_scope, repair_verdicts,
-        bench_variants, bench_real, bench_layers, bench_gone, bench_wording, open_questions, missing_indexes, lint_report,
+        bench_variants, bench_real, bench_layers, bench_gone, bench_wording, open_questions, missing_indexes, lint_report, post_ingest_check, shown_hits, pairing_check,
     )
 }
 
@@ -238,3 +260,12 @@ ORACLE["open_questions"] = f"""SELECT doc_id, n FROM (WITH called AS (SELECT doc
 {_CALLED}) WHERE kind = 'question'"""
 ORACLE["missing_indexes"] = "SELECT DISTINCT x AS directory FROM (SELECT CASE WHEN length(directory) % 8 = 0 THEN directory || '-neuf' ELSE directory END AS x FROM documents) WHERE x NOT IN (SELECT directory FROM index_meta)"
 ORACLE["lint_report"] = " UNION ALL ".join(f"SELECT '{name}' AS check_name, count(*) AS findings FROM ({(graph.ORACLE | ORACLE)[found.__name__]})" for name, found in COUNTED.items())
+_WITHIN = {"dangling": planted.over(graph.ORACLE["dangling_links"]), "ambiguous": graph.ORACLE["ambiguous_links"], "false": graph.ORACLE["false_links"], "secret": graph.ORACLE["secret_scan"]}
+ORACLE["post_ingest_check"] = f"""WITH {planted.SQL}, pages AS (SELECT doc_id, string_split(directory, '/')[-1] AS layer, text FROM planted)
+SELECT doc_id, 'one_block' AS kind FROM pages WHERE layer = 'enseignements' AND doc_id % 4 = 0 AND NOT regexp_matches(text, '(?m)^[ \\t]*###+( |$)')""" + "".join(f" UNION ALL SELECT DISTINCT doc_id, '{kind}' FROM ({sql}) WHERE doc_id % 4 = 0" for kind, sql in _WITHIN.items())
+ORACLE["shown_hits"] = f"""SELECT DISTINCT query_id, relative_path, md5(CASE WHEN length({S.collapse("excerpt")}) <= {V.HIT_CHARS} THEN {S.collapse("excerpt")} ELSE substring({S.collapse("excerpt")}, 1, {V.HIT_CHARS}) || '…' END) AS shown_md5, length(excerpt) <= {V.QUOTE_CHARS} AS whole
+FROM lexical_results WHERE excerpt IS NOT NULL"""
+ORACLE["pairing_check"] = f"""WITH {FRONT}, src AS (SELECT vault, slug, bool_or(doc_id % 3 <> 0) AS lesson, bool_or(doc_id % 2 = 0) AS ahead, bool_or(doc_id % 3 <> 0 AND doc_id % 5 = 0) AS back, bool_or(origine IS NOT NULL) AS named, bool_or(doc_id % 7 = 0) AS alone
+  FROM props WHERE layer = 'sources' GROUP BY vault, slug)
+SELECT vault, slug, 'no_lesson' AS defect FROM src WHERE NOT lesson UNION ALL SELECT vault, slug, 'source_unlinked' FROM src WHERE lesson AND NOT ahead UNION ALL SELECT vault, slug, 'lesson_unlinked' FROM src WHERE lesson AND NOT back
+UNION ALL SELECT vault, slug, 'no_origin' FROM src WHERE NOT named UNION ALL SELECT vault, slug || '-seule', 'no_source' FROM src WHERE alone"""

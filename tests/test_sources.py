@@ -1,9 +1,10 @@
 import json
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from folioforge.sources import corpus, pdf, transcripts
+from folioforge.sources import corpus, pdf, transcripts, vault
 
 
 def stream(data, extra=b""):
@@ -113,3 +114,25 @@ def test_corpus_order_and_routes(spark, tmp_path):
     assert asked[0].payload.type == "document_url" and asked[0].payload.uri == "data:application/pdf;base64,YWJj" and asked[1].refusal == "kind"
     sliced = corpus.sliced(spark.createDataFrame([(1, i, "x" * 9) for i in range(30)], "k int, n int, t string"), "k", "n", "t", 100)
     assert sliced.groupBy("slice").count().orderBy("slice").collect()[0]["count"] == 10
+
+
+def test_vault_resolution(tmp_path):
+    """The nearest configuration above counts; what is missing is named; a scaffold changes nothing that is there."""
+    made = vault.scaffold(str(tmp_path / "v"), {"INDEX.md": "# INDEX", vault.MARKER: "x"})
+    assert "wiki/sources" in made and vault.scaffold(str(tmp_path / "v"), {"INDEX.md": "autre"}) == []
+    assert (tmp_path / "v" / "INDEX.md").read_text() == "# INDEX"
+    with pytest.raises(vault.VaultError):
+        vault.scaffold(str(tmp_path / "v"), {"../x.md": ""})
+    deep = tmp_path / "p" / "a" / "b"
+    deep.mkdir(parents=True)
+    with pytest.raises(vault.VaultError):
+        vault.resolve(str(deep), "nirgends/x")
+    config = tmp_path / "p" / vault.CONFIG
+    config.parent.mkdir()
+    for text, good in (("", False), (str(tmp_path / "none"), False), (str(tmp_path), False), (f"\ufeff{tmp_path / 'v'} \r\nreste", True)):
+        config.write_text(text, encoding="utf-8")
+        if good:
+            assert vault.resolve(str(deep)) == str((tmp_path / "v").resolve())
+        else:
+            with pytest.raises(vault.VaultError):
+                vault.resolve(str(deep))
