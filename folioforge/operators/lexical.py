@@ -55,11 +55,11 @@ def _occurrences(documents: DataFrame, asked: DataFrame) -> DataFrame:
 def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, directory, doc, score) of every document that holds a word of the question.
 
-    documents: (directory, doc, text), null texts as empty. What the words asked
-    find is written to the shared folder, as counts of documents, weights and
-    scores all use it; nothing else of the texts is.
+    documents: (directory, doc, text), null texts as empty. The words asked,
+    and what they find, are written to the shared folder, as counts of documents,
+    weights and scores all use them; nothing else of the texts is.
     """
-    wanted = question_words(questions)
+    wanted = written(question_words(questions), "asked")
     counted = written(_occurrences(documents, wanted), "found")
     held = counted.where("word is null").groupBy("directory").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     found = counted.where("word is not null")
@@ -67,8 +67,11 @@ def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
     weight = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = seen.join(held, "directory").withColumn("weight", F.when(weight > 0, weight).otherwise(F.lit(LEAST_WEIGHT)))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = found.join(weighted.select("directory", "word", "weight", "mean_length"), ["directory", "word"]).select("directory", "word", "doc", (F.col("weight") * gain).alias("part"))
-    return scored.join(wanted, ["directory", "word"]).groupBy("query_id", "directory", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    # the words' weights, and who asks them, are no larger than the words asked
+    chars = wanted.agg(F.sum(F.length("word") + F.length("directory"))).first()[0] or 0
+    near = F.broadcast if chars <= BROADCAST_CHARS else lambda side: side
+    scored = found.join(near(weighted.select("directory", "word", "weight", "mean_length")), ["directory", "word"]).select("directory", "word", "doc", (F.col("weight") * gain).alias("part"))
+    return scored.join(near(wanted), ["directory", "word"]).groupBy("query_id", "directory", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def top(scores: DataFrame, k: int, *by: str, places: int = 9) -> DataFrame:
