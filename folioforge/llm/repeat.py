@@ -1,7 +1,7 @@
 """Problem 10: how much of a document repeats itself, and from where on that rejects it.
 
 The share is exact: one minus distinct over all runs of consecutive words. The
-cutoffs on it are risk controlled. A holdout is labelled by other measures than
+cutoffs on it are risk controlled. Every row is labelled by other measures than
 the share (sentences that stand twice, and how far the words compress), and the
 exact (Clopper-Pearson) upper bound of the rate at which clean rows are rejected
 is computed for every cutoff of a grid and every stratum. In each stratum the
@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, drawn, small_batches, words, written
+from .common import batch_of, rows_of, small_batches, words, written
 
 RUN = 5
 MIN_WORDS = 40
 SHARE = 0.30
 #: Largest tolerated share of clean documents that a cutoff rejects, and the chance of exceeding it anywhere.
 RISK, CHANCE = 0.02, 0.05
-#: Bound of the labelled holdout, in rows.
-HOLDOUT_ROWS = 20_000
+#: Strata up to which their cutoffs are broadcast.
+BROADCAST_STRATA = 100_000
 #: Cutoffs to test; the last is the share that the task states.
 GRID = (0.90, 0.80, 0.70, 0.60, 0.50, 0.45, 0.40, 0.35, SHARE)
 #: Labels: rows whose sentences stand twice in so much of their text, or whose words compress to so little, may be rejected.
@@ -43,6 +43,7 @@ _SHARES = pa.schema(
 )
 _SENTENCE = re.compile(r"[.!?…;:]+\s|\n+")
 _CUTOFFS = "stratum string, clean long, cutoff double, bound double"
+_CUTOFF_ROWS = pa.schema([("stratum", pa.string()), ("clean", pa.int64()), ("cutoff", pa.float64()), ("bound", pa.float64())])
 
 
 def repeated_sentences(text: str | None) -> float:
@@ -58,33 +59,32 @@ def compressed(found: list[str]) -> float:
     return min(1.0, len(zlib.compress(plain, 9)) / len(plain)) if plain else 1.0
 
 
-def repetition(df: DataFrame, item: str, text: str, stratum: str | None = None, run: int = RUN, labelled: float = 0.0) -> DataFrame:
+def repetition(df: DataFrame, item: str, text: str, stratum: str | None = None, run: int = RUN, labelled: bool = False) -> DataFrame:
     """Repeated content of every document.
 
     repeated_share is 1 - distinct/all runs of ``run`` consecutive words. Texts
     with fewer words than a run have no runs and a share of 0; null texts count
     as empty, null strata as ''. Every row gives one, repeated rows and null ids
-    included; other columns are ignored whatever their names. The part
-    ``labelled`` of the rows, chosen by a hash of the id, has the measures for
-    labels as well, which are null for the others. Narrow: one pass, no shuffle.
+    included; other columns are ignored whatever their names. With ``labelled``
+    every row has the measures for labels as well, which are null otherwise.
+    Narrow: one pass, no shuffle.
     """
     small_batches(df.sparkSession)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in _SHARES]
-            for key, body, kind, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, body, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = words(body)
                 n = max(0, len(w) - run + 1)
                 distinct = len(set(zip(*(w[i:] for i in range(run)), strict=False))) if n else 0
-                measures = (repeated_sentences(body), compressed(w)) if held else (None, None)
+                measures = (repeated_sentences(body), compressed(w)) if labelled else (None, None)
                 for c, v in zip(out, (key, kind, len(w), n, distinct, 1 - distinct / n if n else 0.0, *measures), strict=True):
                     c.append(v)
             yield batch_of(_SHARES, out)
 
     kind = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    held = drawn(item, labelled, "holdout")
-    return df.select(F.col(item).cast("long").alias("doc_id"), F.col(text).alias("text"), kind.alias("stratum"), held.alias("held")).mapInArrow(go, SHARES)
+    return df.select(F.col(item).cast("long").alias("doc_id"), F.col(text).alias("text"), kind.alias("stratum")).mapInArrow(go, SHARES)
 
 
 def upper_bound(errors: int, n: int, level: float) -> float:
@@ -92,10 +92,17 @@ def upper_bound(errors: int, n: int, level: float) -> float:
     if n <= 0 or errors >= n:
         return 1.0
 
+    ways = math.lgamma(n + 1) - math.lgamma(errors + 1) - math.lgamma(n - errors + 1)
+
     def at_most(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(errors + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+        # from the most likely term down; what is left once a term adds nothing is a shrinking series
+        term = total = 1.0
+        for k in range(errors, 0, -1):
+            term *= k / (n - k + 1) * ((1 - p) / p)
+            total += term
+            if term < total * 1e-18:
+                break
+        return math.exp(ways + errors * math.log(p) + (n - errors) * math.log1p(-p)) * total
 
     low, high = errors / n, 1.0
     for _ in range(60):
@@ -115,68 +122,70 @@ def certified(clean: int, wrong: list[int], steps: list[float], level: float, ri
     return best
 
 
+def _cutoffs(labelled: DataFrame, score: str, rejectable: str, stratum: str, grid: tuple[float, ...], risk: float, chance: float) -> tuple[DataFrame, tuple | None, int]:
+    """The strata's own rows, the row of all rows together (None without any row), and the number of strata."""
+    steps = sorted(set(grid), reverse=True)
+    if not steps:
+        raise ValueError("the grid holds no cutoff")
+    clean = ~F.coalesce(F.col(rejectable).cast("boolean"), F.lit(False))
+    value = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
+    counted = written(
+        labelled.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(
+            F.count(F.when(clean, 1)).alias("clean"),
+            F.array(*(F.count(F.when(clean & (value >= c), 1)) for c in steps)).alias("wrong"),
+        ),
+        "strata",
+    )
+    n, all_clean, *all_wrong = counted.agg(F.count(F.lit(1)), F.sum("clean"), *(F.sum(F.col("wrong")[i]) for i in range(len(steps)))).first()
+    level = chance / (n + 1)
+    common = certified(all_clean, all_wrong, steps, level, risk) if n else (None, 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(name, m, *(certified(m, wrong, steps, level, risk) if upper_bound(0, m, level) <= risk else common)) for name, m, wrong in rows_of(batch, "stratum", "clean", "wrong")]
+            yield batch_of(_CUTOFF_ROWS, [list(c) for c in zip(*rows, strict=True)] or [[] for _ in _CUTOFF_ROWS])
+
+    return counted.mapInArrow(run, _CUTOFFS), (EVERY, all_clean, *common) if n else None, n
+
+
 def controlled_cutoffs(labelled: DataFrame, score: str, rejectable: str, stratum: str, grid: tuple[float, ...] = GRID, risk: float = RISK, chance: float = CHANCE) -> DataFrame:
     """The lowest certified cutoff of each stratum: one row (stratum, clean, cutoff, bound), and one for all rows together under '*'.
 
     ``rejectable`` is true for rows that may be rejected; the others, and rows
     without a label, are clean. Rejecting from the cutoff on rejects more than
-    ``risk`` of a stratum's clean rows in at most ``chance`` of all holdouts, for
+    ``risk`` of a stratum's clean rows in at most ``chance`` of all tables, for
     all strata together. A stratum with too few clean rows to certify anything,
     were none of them wrong, stands under the common row; one that has enough
     and can't be certified has a null cutoff: it rejects nothing. Null scores
-    count as 0, null strata as one stratum. ``labelled`` is a bounded holdout;
-    what comes to the driver are its counts, one row a stratum.
+    count as 0, null strata as one stratum. What comes to the driver are the
+    counts of all rows together; any number of strata is certified in tasks.
     """
-    steps = sorted(set(grid), reverse=True)
-    if not steps:
-        raise ValueError("the grid holds no cutoff")
-    spark = labelled.sparkSession
-    clean = ~F.coalesce(F.col(rejectable).cast("boolean"), F.lit(False))
-    value = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
-    counted = labelled.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(
-        F.count(F.when(clean, 1)).alias("clean"),
-        F.array(*(F.count(F.when(clean & (value >= c), 1)) for c in steps)).alias("wrong"),
-    )
-    found = [(r["stratum"], r["clean"], r["wrong"]) for r in counted.collect()]  # at most one row for each of the holdout's
-    level = chance / (len(found) + 1)
-    every = (EVERY, sum(n for _, n, _ in found), [sum(w) for w in zip(*(w for _, _, w in found), strict=True)] or [0] * len(steps))
-    common = certified(every[1], every[2], steps, level, risk)
-    rows = [(every[0], every[1], *common)] if found else []
-    for name, n, wrong in sorted(found, key=lambda x: x[0]):
-        rows.append((name, n, *(certified(n, wrong, steps, level, risk) if upper_bound(0, n, level) <= risk else common)))
-    return spark.createDataFrame(rows, _CUTOFFS)
-
-
-def _scored(df: DataFrame, item: str, text: str, stratum: str, holdout_rows: int, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Every row's measures, and those of the labelled holdout, of about so many rows at most; the texts are read once."""
-    total = df.count()
-    scored = written(repetition(df, item, text, stratum, labelled=min(1.0, holdout_rows / max(total, 1))), "shares")
-    rejectable = (F.col("n_words") >= min_words) & ((F.col("repeated_sentences") >= REPEATED_SENTENCES) | (F.col("compressed") <= COMPRESSED))
-    return scored, scored.where("compressed is not null").withColumn("rejectable", rejectable)
+    own, common, _ = _cutoffs(labelled, score, rejectable, stratum, grid, risk, chance)
+    return labelled.sparkSession.createDataFrame([common] if common else [], _CUTOFFS).unionByName(own)
 
 
-def labelled_holdout(df: DataFrame, item: str, text: str, stratum: str, rows: int = HOLDOUT_ROWS, min_words: int = MIN_WORDS) -> DataFrame:
-    """Shares and labels of a sample of about ``rows`` rows at most, chosen by a hash of the id.
+def labelled_holdout(df: DataFrame, item: str, text: str, stratum: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """Measures and labels of every row; the texts are read once.
 
     A row may be rejected if it has ``min_words`` words and repeats sentences or
     compresses well; the share of repeated runs, which the cutoffs are on, takes
-    no part in the label.
+    no part in the label. No row is left out: the cutoffs are counted on the
+    whole table, whatever its size.
     """
-    return _scored(df, item, text, stratum, rows, min_words)[1]
+    scored = written(repetition(df, item, text, stratum, labelled=True), "shares")
+    rejectable = (F.col("n_words") >= min_words) & ((F.col("repeated_sentences") >= REPEATED_SENTENCES) | (F.col("compressed") <= COMPRESSED))
+    return scored.withColumn("rejectable", rejectable)
 
 
-def repetitive(df: DataFrame, item: str, text: str, stratum: str, share: float = SHARE, min_words: int = MIN_WORDS, holdout_rows: int = HOLDOUT_ROWS) -> DataFrame:
+def repetitive(df: DataFrame, item: str, text: str, stratum: str, share: float = SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents of at least ``min_words`` words whose repeated share reaches their stratum's certified cutoff, with their measures.
 
     The grid ends at ``share``, so no cutoff is lower; where labels and share
     disagree on more than the tolerated risk of a stratum's clean rows, its
-    cutoff is higher or it has none. Strata that the holdout misses use the
-    common cutoff. An empty table gives no rows. The cutoffs, at most one for
-    each holdout row, are broadcast.
+    cutoff is higher or it has none. An empty table gives no rows. The strata's
+    cutoffs are broadcast up to BROADCAST_STRATA of them and shuffled beyond.
     """
-    scored, holdout = _scored(df, item, text, stratum, holdout_rows, min_words)
-    cutoffs = controlled_cutoffs(holdout, "repeated_share", "rejectable", "stratum", (*(c for c in GRID if c > share), share))
-    own = cutoffs.where(F.col("stratum") != EVERY).select("stratum", "cutoff", F.lit(True).alias("known"))
-    common = cutoffs.where(F.col("stratum") == EVERY).select("cutoff").first()
-    cutoff = F.when(F.col("known"), F.col("cutoff")).otherwise(F.lit(common["cutoff"] if common else None).cast("double"))
-    return scored.where(F.col("n_words") >= min_words).join(F.broadcast(own), "stratum", "left").withColumn("cutoff", cutoff).where(F.col("repeated_share") >= F.col("cutoff")).drop("known", "repeated_sentences", "compressed")
+    scored = labelled_holdout(df, item, text, stratum, min_words)
+    own, _, n = _cutoffs(scored, "repeated_share", "rejectable", "stratum", (*(c for c in GRID if c > share), share), RISK, CHANCE)
+    side = own.select("stratum", "cutoff")
+    return scored.where(F.col("n_words") >= min_words).join(F.broadcast(side) if n <= BROADCAST_STRATA else side, "stratum").where(F.col("repeated_share") >= F.col("cutoff")).drop("repeated_sentences", "compressed", "rejectable")

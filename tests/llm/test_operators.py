@@ -508,6 +508,18 @@ def test_exact_bounds_and_cutoffs(spark):
     assert repeat.controlled_cutoffs(wrong.limit(0), "score", "label", "stratum").count() == 0
 
 
+def test_cutoffs_count_every_row(spark):
+    """No row is left out of the labels, copies of an id included, and large counts have their exact bounds."""
+    df = spark.range(21_000).select((F.col("id") % 7000).alias("doc_id"), F.concat(F.lit("mot "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "*").otherwise((F.col("id") % 6).cast("string")).alias("kind"))
+    held = repeat.labelled_holdout(df, "doc_id", "text", "kind")
+    assert held.count() == held.where("compressed is not null").count() == 21_000
+    rows = repeat.controlled_cutoffs(held, "repeated_share", "rejectable", "stratum").collect()
+    assert sorted((r.stratum, r.clean) for r in rows) == [("*", 10_500), ("*", 21_000), ("1", 3500), ("3", 3500), ("5", 3500)]
+    n, k = 30_000_000, 500_000
+    p = repeat.upper_bound(k, n, 0.01)
+    assert math.isclose(p, k / n + 2.3263 * math.sqrt(k / n * (1 - k / n) / n), rel_tol=1e-5)
+
+
 def test_controlled_risk_holds():
     """Over many holdouts a cutoff rejects more than the risk hardly more often than the chance allows."""
     rng = np.random.default_rng(0)
