@@ -372,6 +372,36 @@ def test_readings_beyond_old_bounds():
     assert {i for p, i in running.header if p == 1} == {0, 1, 2, 3}
 
 
+def all_readings(low):
+    """A word's readings one by one, with the word itself."""
+    if not low:
+        return {""}
+    first = ocr.LETTERS if low[0] in ocr.SYMBOLS else ocr.DIGITS.get(low[0], low[0])
+    return {x + y for x in first for y in all_readings(low[1:])} | {right + y for wrong, right in ocr.SHAPES.items() if low.startswith(wrong) for y in all_readings(low[len(wrong) :])}
+
+
+def test_readings_are_told_as_if_listed():
+    rng = random.Random(2)
+    for _ in range(400):
+        low = "".join(rng.choice("crnivla10568") for _ in range(rng.randint(1, 7)))
+        listed, told = all_readings(low) - {low}, ocr.readings(low)
+        assert all(x in told and "".join(ocr.FOLDS.get(c, c) for c in x) == "".join(ocr.FOLDS.get(c, c) for c in low) for x in listed)
+        assert not any(x in told for x in {"".join(rng.choice("crnivlaeumwdosbg") for _ in range(len(low))) for _ in range(50)} - listed)
+    assert all(x in ocr.readings("a@b|c") for x in all_readings("a@b|c"))
+    assert ocr.readings("rnornent").shapes("moment") == 2 and "a@b" not in ocr.readings("a@b") and "a1" not in ocr.readings("11")
+
+
+@pytest.mark.parametrize("places", (ocr.BROADCAST_PLACES, 0))
+def test_scans_any_number_of_confusions(spark, monkeypatch, places):
+    """A dozen ones that are l and i in turn, several symbols and several shapes in a word, digits and symbols beside shapes."""
+    monkeypatch.setattr(ocr, "BROADCAST_PLACES", places)
+    usual = " ".join(["le chantier de commande garantie livraison moment illilliilllit"] * 40)
+    damaged = "Ici 111111111111t, la g@r!ntie du ch@nt@er et la l@vr!ison au rnornent de c0rnrnande, g@r!ntic du rnorn@nt, cornrn@n!e."
+    df = spark.createDataFrame([(1, [usual]), (2, [damaged])], "response_id long, page_markdowns array<string>")
+    text = {r.response_id: r.text for r in ocr.repaired_responses(df, "response_id", "page_markdowns").collect()}
+    assert text[1] == usual and text[2] == "Ici illilliilllit, la garantie du chantier et la livraison au moment de commande, garantie du moment, commande."
+
+
 def test_steady_numbers_against_all_pairs():
     rng = random.Random(5)
     for _ in range(300):
