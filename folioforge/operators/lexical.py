@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,12 @@ K1, B = 1.2, 0.75
 LEAST_WEIGHT = 1e-6
 #: Words asked are broadcast while they have at most so many characters together.
 BROADCAST_CHARS = 16_000_000
+#: Documents of a directory, what they hold of the words asked, and words of questions that meet in one task, about.
+DOCS, HOLDINGS, ASKED = 4096, 1_000_000, 4_000_000
+#: Of a question's words those that more documents hold are added up once for all questions that share them.
+COMMON, SHARE = 64, 64
+#: Pairs of question and document that are scored at once.
+PAIRS = 1_000_000
 
 
 def question_parts(question: Column) -> Column:
@@ -25,6 +36,14 @@ def question_words(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", "directory", F.explode(question_parts(F.col("question"))).alias("word")).groupBy("query_id", "directory", "word").agg(F.count(F.lit(1)).alias("times"))
 
 
+def _grams(n: int) -> Column:
+    """The runs of n tokens, a blank between."""
+    if n == 1:
+        return F.col("tokens")
+    starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, F.lit(n)), " "))
+
+
 def _occurrences(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """(directory, doc, length, word, tf): what the documents hold of the words asked of their directory, and a row with a null word for each document.
 
@@ -35,14 +54,7 @@ def _occurrences(documents: DataFrame, asked: DataFrame) -> DataFrame:
     sizes = asked.agg(F.sum(F.length("word") + F.length("directory")).alias("chars"), F.min(F.least(F.length("word"), F.lit(3))).alias("width"), F.collect_set(F.size(F.split("word", " "))).alias("runs")).first()
     width, runs = sizes["width"] or 1, sorted(sizes["runs"]) or [1]
     tokens = documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-
-    def grams(n: int) -> Column:
-        if n == 1:
-            return F.col("tokens")
-        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, F.lit(n)), " "))
-
-    terms = F.concat(F.array(F.lit(None).cast("string")), *(grams(n) for n in runs))
+    terms = F.concat(F.array(F.lit(None).cast("string")), *(_grams(n) for n in runs))
     rows = tokens.select("directory", "doc", F.size("tokens").alias("length"), F.explode(terms).alias("term"))
     # a document's own row meets no word, and is spread where the join is by a shuffle
     head = F.coalesce(F.substring(F.col("term"), F.lit(1), F.lit(width)), F.concat(F.lit("\0"), F.pmod(F.hash("doc"), F.lit(997)).cast("string")))
@@ -74,6 +86,199 @@ def bm25(documents: DataFrame, questions: DataFrame) -> DataFrame:
     return scored.join(near(wanted), ["directory", "word"]).groupBy("query_id", "directory", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several spans, one behind the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a list array, and the place of the list that each is of."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(lists), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _counter(asked: pa.Table) -> Callable[[pa.Table], pa.Table]:
+    """For the words asked, (directory, word, id): a function from (directory, doc, length, terms) to (directory, doc, length, ids, tfs), the words asked of its directory that open terms of a document, and how often."""
+    directories = {d: i for i, d in enumerate(pc.unique(asked["directory"]).to_pylist())}
+    numbers, first = np.unique(asked["id"].to_numpy(), return_index=True)
+    texts = asked["word"].take(pa.array(first)).to_pylist()
+    at, width = {w: j for j, w in enumerate(texts)}, max(1, len(texts))
+    of = np.array([directories[d] for d in asked["directory"].to_pylist()], dtype=np.int64)
+    pairs = np.unique(of * width + np.searchsorted(numbers, asked["id"].to_numpy()))
+    lengths = {n: sorted({len(w) for w in texts if w.count(" ") == n}) for n in {w.count(" ") for w in texts}}
+    known: dict[str, list[int]] = {}
+
+    def opens(term: str) -> list[int]:
+        n = term.count(" ")
+        found = (at.get(term[:x], -1) for x in lengths.get(n, ()) if x <= len(term))
+        return [j for j in found if j >= 0 and texts[j].count(" ") == n]
+
+    def held(docs: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        flat, row = _flat(pa.concat_arrays(docs["terms"].chunks) if docs.num_rows else pa.array([], pa.list_(pa.string())))
+        coded = flat.dictionary_encode()
+        vocabulary, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for term in vocabulary:
+            if term not in known:
+                known[term] = opens(term)
+        sizes = np.array([len(known[t]) for t in vocabulary], dtype=np.int64)
+        words = np.array([j for t in vocabulary for j in known[t]], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        hit = sizes[code] > 0
+        pair, times = np.unique(row[hit] * max(1, len(vocabulary)) + code[hit], return_counts=True)
+        row, code = np.divmod(pair, max(1, len(vocabulary)))
+        n = sizes[code]
+        word, row, times = words[_spans(starts[code], n)], np.repeat(row, n), np.repeat(times, n)
+        directory = np.array([directories.get(d, -1) for d in docs["directory"].to_pylist()], dtype=np.int64)
+        key = directory[row] * width + word
+        asked_here = np.append(pairs, -1)[np.searchsorted(pairs, key)] == key
+        asked_here &= directory[row] >= 0
+        both, place = np.unique(row[asked_here] * width + word[asked_here], return_inverse=True)
+        tf = np.bincount(place, weights=times[asked_here], minlength=len(both)).astype(np.int64)
+        ends = pa.array(np.searchsorted(both, np.arange(docs.num_rows + 1) * width).astype(np.int32))
+        ids = pa.ListArray.from_arrays(ends, pa.array(numbers[both % width] if len(both) else np.array([], np.int64)))
+        return pa.table({"directory": docs["directory"], "doc": docs["doc"], "length": docs["length"], "ids": ids, "tfs": pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))})
+
+    return held
+
+
+def _holdings(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """(directory, doc, length, ids, tfs): each document with what it holds of the words (directory, word, id) asked of its directory.
+
+    A document's words stay in its row, and nothing is shuffled while the words
+    are broadcast; beyond that documents and words meet by directory.
+    """
+    spark = documents.sparkSession
+    sizes = words.agg(F.sum(F.length("word") + F.length("directory")).alias("chars"), F.collect_set(F.size(F.split("word", " "))).alias("runs")).first()
+    tokens = documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    terms = tokens.select("directory", "doc", F.size("tokens").cast("long").alias("length"), F.concat(*(_grams(n) for n in sorted(sizes["runs"]) or [1])).alias("terms"))
+    schema = "directory string, doc string, length long, ids array<long>, tfs array<long>"
+    if (sizes["chars"] or 0) <= BROADCAST_CHARS:
+        asked = spark.sparkContext.broadcast(words.select("directory", "word", "id").toArrow())
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = _counter(asked.value)
+            for batch in batches:
+                yield from held(pa.Table.from_batches([batch])).to_batches()
+
+        return terms.mapInArrow(count, schema)
+    slots = documents.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / DOCS).cast("int").alias("slots"))  # one row a directory
+    dealt = terms.join(slots, "directory").withColumn("slot", F.pmod(F.xxhash64("doc"), "slots").cast("int")).drop("slots")
+    everywhere = words.join(slots, "directory").select("directory", "word", "id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+
+    def meet(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        return _counter(asked)(docs)
+
+    return dealt.groupBy("directory", "slot").cogroup(everywhere.groupBy("directory", "slot")).applyInArrow(meet, schema)
+
+
+def _least(key: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k highest keys above 0, among equal ones the first."""
+    at = np.nonzero(key > 0)[0]
+    if len(at) <= k:
+        return at
+    edge = np.partition(key[at], -k)[-k]
+    above = at[key[at] > edge]
+    return np.append(above, at[key[at] == edge][: k - len(above)])
+
+
+def _best(docs: pa.Table, asked: pa.Table, k: int, places: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(query_id, doc, score) of the best k among some documents of a directory, by score to so many places and document.
+
+    The words of a question that many documents hold are added up once for all
+    questions that share them. The documents that hold another of its words,
+    and the k best by the shared ones, are then all that can be among its best:
+    a further word only adds to a score.
+    """
+    order = pc.sort_indices(docs["doc"])
+    docs = docs.take(order).combine_chunks()
+    coded = docs["doc"].combine_chunks().dictionary_encode() if docs.num_rows else pa.array([], pa.string()).dictionary_encode()
+    names, number = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)  # in order, a name once
+    ids, row = _flat(docs["ids"].combine_chunks())
+    tf, _ = _flat(docs["tfs"].combine_chunks())
+    words, first = np.unique(asked["id"].to_numpy(), return_index=True)
+    ids = ids.to_numpy(zero_copy_only=False)
+    word = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+    keep = words[word] == ids
+    word, row, tf = word[keep], row[keep], tf.to_numpy(zero_copy_only=False)[keep].astype(float)
+    weight, mean = asked["weight"].to_numpy()[first], asked["mean_length"].to_numpy()[first]
+    part = weight[word] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * docs["length"].to_numpy()[row] / mean[word])))
+    by_word = np.argsort(word, kind="stable")
+    held, part = number[row[by_word]], part[by_word]
+    df = np.bincount(word, minlength=len(words))
+    starts, n, unit = np.cumsum(df) - df, len(names), 10.0**places
+    common = df > max(COMMON, n // SHARE)
+
+    query, at, times = asked["query_id"].to_numpy(), np.searchsorted(words, asked["id"].to_numpy()), asked["times"].to_numpy()
+    order = np.lexsort((at, query))
+    query, at, times = query[order], at[order], times[order]
+    asking, begin = np.unique(query, return_index=True)
+    begin = np.append(begin, len(query))
+    sharing: dict[bytes, list[int]] = {}
+    for q in range(len(asking)):
+        span = slice(begin[q], begin[q + 1])
+        shared = common[at[span]]
+        sharing.setdefault(np.stack([at[span][shared], times[span][shared]]).tobytes(), []).append(q)
+    for said, questions in sharing.items():
+        base = np.zeros(n)
+        for w, m in np.frombuffer(said, dtype=np.int64).reshape(2, -1).T:
+            base += np.bincount(held[starts[w] : starts[w] + df[w]], weights=part[starts[w] : starts[w] + df[w]] * m, minlength=n)
+        leading = _least(np.floor(base * unit + 0.5) + (base > 0), k)
+        of = np.array(questions)
+        mine = _spans(begin[of], begin[of + 1] - begin[of])
+        whose = np.repeat(np.arange(len(of)), begin[of + 1] - begin[of])
+        rare = ~common[at[mine]]
+        mine, whose = mine[rare], whose[rare]
+        pairs = np.bincount(whose, weights=df[at[mine]], minlength=len(of)).astype(np.int64) + len(leading)
+        group = (np.cumsum(pairs) - pairs) // PAIRS
+        for low, high in zip(edges := np.unique(group, return_index=True)[1], [*edges[1:], len(of)]):
+            here = (whose >= low) & (whose < high) if high - low < len(of) else slice(None)
+            w, q = at[mine[here]], whose[here]
+            spans = _spans(starts[w], df[w])
+            key = np.append(np.repeat(q, df[w]) * n + held[spans], (np.arange(low, high)[:, None] * n + leading[None]).ravel())
+            gain = np.append(part[spans] * np.repeat(times[mine[here]], df[w]), np.zeros((high - low) * len(leading)))
+            met, place = np.unique(key, return_inverse=True)
+            q, doc = np.divmod(met, max(1, n))
+            score = base[doc] + np.bincount(place, weights=gain, minlength=len(met))
+            order = np.lexsort((doc, -np.floor(score * unit + 0.5), q))
+            q = q[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            chosen = order[nth < k]
+            yield asking[of[q[nth < k]]], names.take(pa.array(doc[chosen])), score[chosen]
+
+
+def best(documents: DataFrame, questions: DataFrame, k: int, places: int = 9) -> DataFrame:
+    """(query_id, directory, doc, score, rank): the best k documents of each question's directory, as top() of bm25() gives them.
+
+    For any number of questions: what documents hold, and the questions, meet
+    in parts of a directory, each of which gives k rows a question; the pairs of
+    questions and documents, which grow with the square, are never shuffled.
+    """
+    wanted = written(question_words(questions), "asked")
+    numbered = written(wanted.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "words")
+    words = wanted.select("directory", "word").distinct().join(numbered, "word")
+    found = written(_holdings(documents, words), "found")
+    held = found.groupBy("directory").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"), F.sum(F.size("ids")).alias("n_held"))
+    seen = found.select("directory", F.explode("ids").alias("id")).groupBy("directory", "id").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = seen.join(held, "directory").select("directory", "id", "mean_length", F.when(weight > 0, weight).otherwise(F.lit(LEAST_WEIGHT)).alias("weight"))
+    asked = wanted.join(numbered, "word").join(weighted, ["directory", "id"]).select("directory", "query_id", "id", "times", "weight", "mean_length")
+    cuts = held.select("directory", F.greatest(F.lit(1), F.ceil(F.col("n_held") / HOLDINGS)).cast("int").alias("slots"))
+    cuts = cuts.join(wanted.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks")), "directory")  # one row a directory
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = found.where(F.size("ids") > 0).join(cuts, "directory").select("directory", F.pmod(F.xxhash64("doc"), "slots").cast("int").alias("slot"), every("blocks").alias("block"), "doc", "length", "ids", "tfs")
+    right = asked.join(cuts, "directory").select("directory", every("slots").alias("slot"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "query_id", "id", "times", "weight", "mean_length")
+    schema = pa.schema([("query_id", pa.int64()), ("directory", pa.string()), ("doc", pa.string()), ("score", pa.float64())])
+
+    def meet(key: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [pa.table([pa.array(q), pa.repeat(key[0], len(q)), doc, pa.array(score)], schema=schema) for q, doc, score in _best(docs, asked, k, places)] if docs.num_rows and asked.num_rows else []
+        return pa.concat_tables([schema.empty_table(), *parts])
+
+    by = ["directory", "slot", "block"]
+    scores = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, "query_id long, directory string, doc string, score double")
+    return top(scores, k, "query_id", "directory", places=places)
+
+
 def top(scores: DataFrame, k: int, *by: str, places: int = 9) -> DataFrame:
     """The best k of each group, ties by document order; scores are compared to so many places."""
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("score", places)), "doc")

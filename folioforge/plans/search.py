@@ -59,7 +59,7 @@ def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best notes for each logged question in its directory."""
-    best = lexical.top(lexical.bm25(_corpus(spark, sf_dir), _questions(spark, sf_dir)), 5, "query_id", "directory")
+    best = lexical.best(_corpus(spark, sf_dir), _questions(spark, sf_dir), 5)
     return best.select("query_id", "directory", "doc", F.round("score", 6).alias("score"), "rank")
 
 

@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 
 from folioforge.operators import lexical as L
+from folioforge.plans import search as search_plans
 
 
 def search(spark, files, question, k=5):
@@ -45,6 +46,48 @@ def test_empty(spark):
     assert search(spark, [("a.md", "mot")], "???") == []
 
 
+def shuffled(spark):
+    """Rows that the application's stages have shuffled so far."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())))
+
+
+def logged_search(spark, folder, questions=300, notes=300):
+    """Tables in which every note holds a word of every question."""
+    spark.createDataFrame([(i, "v/wiki/concepts", f"{i}.md", f"le quai mot{i} {'mot ' * (i % 7)}") for i in range(notes)], "doc_id long, directory string, relative_path string, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, "v/wiki/concepts", f"le quai mot{i}", f"{i}.md", 1) for i in range(questions)], "query_id long, directory string, question string, relative_path string, result_rank int").write.parquet(f"{folder}/lexical_results.parquet")
+    return str(folder)
+
+
+def test_pairs_are_not_shuffled(spark, tmp_path):
+    folder = logged_search(spark, tmp_path)
+    before = shuffled(spark)
+    found = search_plans.bm25_top5(spark, folder).collect()
+    assert len(found) == 1500 and {r.query_id for r in found if r["rank"] == 1 and r.doc == f"{r.query_id}.md"} >= set(range(100, 300))
+    assert shuffled(spark) - before < 300 * 300 / 4
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_CHARS": 0, "DOCS": 7}, {"HOLDINGS": 50, "ASKED": 20}, {"COMMON": 2, "SHARE": 100, "PAIRS": 5}, {"COMMON": 10**6}])
+def test_best_is_top_of_bm25(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(L, name, value)
+    words = ["quai", "quais", "le", "l", "relance", "réserve", "comptable", "x1", "é"]
+    docs = [(d, f"{i:02d}.md", " ".join(words[(i * j + i) % 9] for j in range(i % 11)) or None) for d in ("a", "b", None) for i in range(60)]
+    asked = [(i, d, " ".join([words[i % 9], words[i * 5 % 9], "qu", "le_quai"][: 1 + i % 4])) for d in ("a", "b", "absent") for i in range(30)] + [(99, "a", "???"), (-1, "b", "l l l")]
+    docs, asked = spark.createDataFrame(docs, "directory string, doc string, text string"), spark.createDataFrame(asked, "query_id long, directory string, question string")
+    rows = lambda df: sorted((r.query_id, r.directory, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
+    want = rows(L.top(L.bm25(docs, asked), 3, "query_id", "directory"))
+    assert len(want) > 100 and rows(L.best(docs, asked, 3)) == want
+
+
+def test_best_of_nothing(spark):
+    docs = spark.createDataFrame([("d", "a.md", None), ("d", "b.md", "mot")], "directory string, doc string, text string")
+    for question in ("???", "absent"):
+        assert L.best(docs, spark.createDataFrame([(1, "d", question)], "query_id long, directory string, question string"), 3).collect() == []
+
+
 def test_same_as_fts5(spark):
     texts = ["la réserve comptable de la relance", "relance relance du quai", "le quai", "réservé au quai comptable " * 3, "", "zèbre à l'Épée", "comptabilité"] * 3
     files = [(f"{i:02d}.md", t) for i, t in enumerate(texts)]
