@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 
 from folioforge.operators import lexical as L
+from folioforge.plans import index as index_plans
 from folioforge.plans import search as search_plans
 
 
@@ -69,6 +70,13 @@ def test_pairs_are_not_shuffled(spark, tmp_path):
     assert shuffled(spark) - before < 300 * 300 / 4
 
 
+def test_bench_pairs_are_not_shuffled(spark, tmp_path):
+    folder = logged_search(spark, tmp_path)
+    before = shuffled(spark)
+    assert index_plans.bench_scores(spark, folder).first().questions == 300
+    assert shuffled(spark) - before < 300 * 300 / 4
+
+
 @pytest.mark.parametrize("limits", [{}, {"BROADCAST_CHARS": 0, "DOCS": 7}, {"HOLDINGS": 50, "ASKED": 20}, {"COMMON": 2, "SHARE": 100, "PAIRS": 5}, {"COMMON": 10**6}])
 def test_best_is_top_of_bm25(spark, monkeypatch, limits):
     for name, value in limits.items():
