@@ -97,8 +97,8 @@ def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pc.list_flatten(lists), np.repeat(np.arange(len(lists)), sizes)
 
 
-def _counter(asked: pa.Table) -> Callable[[pa.Table], pa.Table]:
-    """For the words asked, (directory, word, id): a function from (directory, doc, length, terms) to (directory, doc, length, ids, tfs), the words asked of its directory that open terms of a document, and how often."""
+def _counter(asked: pa.Table, whole: bool = False) -> Callable[[pa.Table], pa.Table]:
+    """For the words asked, (directory, word, id): a function from (directory, doc, length, terms) to (directory, doc, length, ids, tfs), the words asked of its directory that open, or are, terms of a document, and how often."""
     directories = {d: i for i, d in enumerate(pc.unique(asked["directory"]).to_pylist())}
     numbers, first = np.unique(asked["id"].to_numpy(), return_index=True)
     texts = asked["word"].take(pa.array(first)).to_pylist()
@@ -109,6 +109,8 @@ def _counter(asked: pa.Table) -> Callable[[pa.Table], pa.Table]:
     known: dict[str, list[int]] = {}
 
     def opens(term: str) -> list[int]:
+        if whole:
+            return [at[term]] if term in at else []
         n = term.count(" ")
         found = (at.get(term[:x], -1) for x in lengths.get(n, ()) if x <= len(term))
         return [j for j in found if j >= 0 and texts[j].count(" ") == n]
@@ -142,32 +144,37 @@ def _counter(asked: pa.Table) -> Callable[[pa.Table], pa.Table]:
     return held
 
 
-def _holdings(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """(directory, doc, length, ids, tfs): each document with what it holds of the words (directory, word, id) asked of its directory.
+def _terms(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """(directory, doc, length, terms): each document's tokens, and runs of them where phrases are asked."""
+    runs = words.agg(F.collect_set(F.size(F.split("word", " ")))).first()[0]
+    tokens = documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return tokens.select("directory", "doc", F.size("tokens").cast("long").alias("length"), F.concat(*(_grams(n) for n in sorted(runs) or [1])).alias("terms"))
+
+
+def _holdings(terms: DataFrame, words: DataFrame, whole: bool = False) -> DataFrame:
+    """(directory, doc, length, ids, tfs): each document with what its terms hold of the words (directory, word, id) asked of its directory.
 
     A document's words stay in its row, and nothing is shuffled while the words
     are broadcast; beyond that documents and words meet by directory.
     """
-    spark = documents.sparkSession
-    sizes = words.agg(F.sum(F.length("word") + F.length("directory")).alias("chars"), F.collect_set(F.size(F.split("word", " "))).alias("runs")).first()
-    tokens = documents.select("directory", "doc", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    terms = tokens.select("directory", "doc", F.size("tokens").cast("long").alias("length"), F.concat(*(_grams(n) for n in sorted(sizes["runs"]) or [1])).alias("terms"))
+    spark = terms.sparkSession
+    chars = words.agg(F.sum(F.length("word") + F.length("directory"))).first()[0] or 0
     schema = "directory string, doc string, length long, ids array<long>, tfs array<long>"
-    if (sizes["chars"] or 0) <= BROADCAST_CHARS:
+    if chars <= BROADCAST_CHARS:
         asked = spark.sparkContext.broadcast(words.select("directory", "word", "id").toArrow())
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = _counter(asked.value)
+            held = _counter(asked.value, whole)
             for batch in batches:
                 yield from held(pa.Table.from_batches([batch])).to_batches()
 
         return terms.mapInArrow(count, schema)
-    slots = documents.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / DOCS).cast("int").alias("slots"))  # one row a directory
+    slots = terms.groupBy("directory").agg(F.ceil(F.count(F.lit(1)) / DOCS).cast("int").alias("slots"))  # one row a directory
     dealt = terms.join(slots, "directory").withColumn("slot", F.pmod(F.xxhash64("doc"), "slots").cast("int")).drop("slots")
     everywhere = words.join(slots, "directory").select("directory", "word", "id", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
 
     def meet(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        return _counter(asked)(docs)
+        return _counter(asked, whole)(docs)
 
     return dealt.groupBy("directory", "slot").cogroup(everywhere.groupBy("directory", "slot")).applyInArrow(meet, schema)
 
@@ -182,7 +189,7 @@ def _least(key: np.ndarray, k: int) -> np.ndarray:
     return np.append(above, at[key[at] == edge][: k - len(above)])
 
 
-def _best(docs: pa.Table, asked: pa.Table, k: int, places: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+def _best(docs: pa.Table, asked: pa.Table, k: int, places: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
     """(query_id, doc, score) of the best k among some documents of a directory, by score to so many places and document.
 
     The words of a question that many documents hold are added up once for all
@@ -209,7 +216,8 @@ def _best(docs: pa.Table, asked: pa.Table, k: int, places: int) -> Iterator[tupl
     starts, n, unit = np.cumsum(df) - df, len(names), 10.0**places
     common = df > max(COMMON, n // SHARE)
 
-    query, at, times = asked["query_id"].to_numpy(), np.searchsorted(words, asked["id"].to_numpy()), asked["times"].to_numpy()
+    coded = asked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    query, at, times = coded.indices.to_numpy(), np.searchsorted(words, asked["id"].to_numpy()), asked["times"].to_numpy()
     order = np.lexsort((at, query))
     query, at, times = query[order], at[order], times[order]
     asking, begin = np.unique(query, return_index=True)
@@ -244,7 +252,7 @@ def _best(docs: pa.Table, asked: pa.Table, k: int, places: int) -> Iterator[tupl
             q = q[order]
             nth = np.arange(len(q)) - np.searchsorted(q, q)
             chosen = order[nth < k]
-            yield asking[of[q[nth < k]]], names.take(pa.array(doc[chosen])), score[chosen]
+            yield coded.dictionary.take(pa.array(asking[of[q[nth < k]]])), names.take(pa.array(doc[chosen])), score[chosen]
 
 
 def best(documents: DataFrame, questions: DataFrame, k: int, places: int = 9) -> DataFrame:
@@ -257,7 +265,7 @@ def best(documents: DataFrame, questions: DataFrame, k: int, places: int = 9) ->
     wanted = written(question_words(questions), "asked")
     numbered = written(wanted.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "words")
     words = wanted.select("directory", "word").distinct().join(numbered, "word")
-    found = written(_holdings(documents, words), "found")
+    found = written(_holdings(_terms(documents, words), words), "found")
     held = found.groupBy("directory").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"), F.sum(F.size("ids")).alias("n_held"))
     seen = found.select("directory", F.explode("ids").alias("id")).groupBy("directory", "id").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -271,7 +279,7 @@ def best(documents: DataFrame, questions: DataFrame, k: int, places: int = 9) ->
     schema = pa.schema([("query_id", pa.int64()), ("directory", pa.string()), ("doc", pa.string()), ("score", pa.float64())])
 
     def meet(key: tuple, docs: pa.Table, asked: pa.Table) -> pa.Table:
-        parts = [pa.table([pa.array(q), pa.repeat(key[0], len(q)), doc, pa.array(score)], schema=schema) for q, doc, score in _best(docs, asked, k, places)] if docs.num_rows and asked.num_rows else []
+        parts = [pa.table([q, pa.repeat(key[0], len(q)), doc, pa.array(score)], schema=schema) for q, doc, score in _best(docs, asked, k, places)] if docs.num_rows and asked.num_rows else []
         return pa.concat_tables([schema.empty_table(), *parts])
 
     by = ["directory", "slot", "block"]
@@ -279,6 +287,94 @@ def best(documents: DataFrame, questions: DataFrame, k: int, places: int = 9) ->
     return top(scores, k, "query_id", "directory", places=places)
 
 
+def _origins(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(query_id, origin, docs) of what origins() brings together of one directory."""
+    schema = pa.schema([("query_id", pa.int64()), ("directory", pa.string()), ("origin", pa.string()), ("docs", pa.list_(pa.string()))])
+    kind = rows["kind"].to_numpy()
+    docs, asked, ranked = (rows.take(pa.array(np.nonzero(kind == i)[0])).combine_chunks() for i in range(3))
+    directory = rows["directory"][0].as_py()
+    coded = pa.chunked_array([*docs["doc"].chunks, *ranked["doc"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    names = coded.dictionary
+    number = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) % (len(names) + 1)  # a null doc is the last
+    names, n = pa.concat_arrays([names, pa.nulls(1, pa.string())]), len(names) + 1
+    ids, row = _flat(docs["ids"].combine_chunks() if docs.num_rows else pa.array([], pa.list_(pa.int64())))
+    words, word = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+    posted, copies = np.unique(word * n + number[row], return_counts=True)  # documents of one name count together
+    held, starts = posted % n, np.searchsorted(posted, np.arange(len(words) + 1) * n)
+
+    coded = pa.chunked_array([*asked["query_id"].chunks, *ranked["query_id"].chunks], pa.int64()).combine_chunks().dictionary_encode(null_encoding="encode")
+    code, asking = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+    def by_query(query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(query, kind="stable")
+        return query[order], order
+
+    asks, order = by_query(code[: asked.num_rows])
+    wanted, times, least = (asked[c].to_numpy()[order] for c in ("id", "times", "all"))
+    at = np.minimum(np.searchsorted(words, wanted), max(0, len(words) - 1))
+    known = words[at] == wanted if len(words) else np.zeros(len(wanted), bool)
+    logged, order = by_query(code[asked.num_rows :])
+    listed = number[docs.num_rows :][order]
+    edges = np.arange(len(asking) + 1)
+    a, r = np.searchsorted(asks, edges), np.searchsorted(logged, edges)
+    said: list[tuple[int, str]] = []
+    lists: list[np.ndarray] = []
+
+    def batch() -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+        paths = names.take(pa.array(np.concatenate(lists)))
+        query, origin = zip(*said)
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array([directory] * len(said), pa.string()), pa.array(origin, pa.string()), pa.ListArray.from_arrays(ends, paths)], schema=schema)
+
+    waiting = 0
+    for i, query in enumerate(asking):
+        count, most = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for j in np.arange(a[i], a[i + 1])[known[a[i] : a[i + 1]]]:
+            span = slice(starts[at[j]], starts[at[j] + 1])
+            count[held[span]] += copies[span] * times[j]
+            most[held[span]] = np.maximum(most[held[span]], least[j])
+        hit = (count > 0) & (count * 2 >= most)
+        first = listed[r[i] : r[i + 1]]
+        both = hit[first] & (first < n - 1) & (query is not None)  # nulls are no other's
+        alone = hit.copy()
+        alone[first[both]] = False
+        for origin, found in (("both", first[both]), ("ranking", first[~both]), ("scan", np.nonzero(alone)[0])):
+            if len(found):
+                said.append((query, origin))
+                lists.append(found)
+                waiting += len(found)
+        if waiting >= PAIRS // 8:
+            yield batch()
+            said, lists, waiting = [], [], 0
+    if said:
+        yield batch()
+
+
+def origins(terms: DataFrame, wanted: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query_id, directory, doc, origin): documents that hold half of a question's words (scan), that are ranked for it (ranking), or both.
+
+    terms: (directory, doc, length, terms), each term of a document once; wanted:
+    (query_id, directory, word, all), all the question's number of words; ranked:
+    (query_id, directory, doc), once each. The three meet in parts of a directory;
+    the pairs found grow with the square and are given where they are found.
+    """
+    asked = written(wanted.groupBy("query_id", "directory", "word").agg(F.count(F.lit(1)).alias("times"), F.max("all").cast("long").alias("all")), "asked")
+    numbered = written(asked.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "words")
+    found = written(_holdings(terms, asked.select("directory", "word").distinct().join(numbered, "word"), whole=True).where((F.size("ids") > 0) & F.col("directory").isNotNull()), "found")
+    cuts = found.groupBy("directory").agg(F.ceil(F.sum(F.size("ids")) / HOLDINGS).cast("int").alias("slots"))  # one row a directory
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int").alias("slot")
+    no = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    left = found.join(cuts, "directory").select(F.lit(0).alias("kind"), "directory", at("doc", F.col("slots")), "doc", "ids", no("long", "query_id"), no("long", "id"), no("long", "times"), no("long", "all"))
+    right = asked.join(numbered, "word").join(cuts, "directory").select(F.lit(1).alias("kind"), "directory", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), no("string", "doc"), no("array<long>", "ids"), "query_id", "id", "times", "all")
+    listed = ranked.join(cuts, "directory", "left").select(F.lit(2).alias("kind"), "directory", at("doc", F.col("slots")), "doc", no("array<long>", "ids"), "query_id", no("long", "id"), no("long", "times"), no("long", "all"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _origins(pa.Table.from_batches(batches))
+
+    met = left.unionByName(right).unionByName(listed).groupBy("directory", "slot").applyInArrow(meet, "query_id long, directory string, origin string, docs array<string>")
+    return met.select("query_id", "directory", F.explode("docs").alias("doc"), "origin")
+
+
 def top(scores: DataFrame, k: int, *by: str, places: int = 9) -> DataFrame:
     """The best k of each group, ties by document order; scores are compared to so many places."""
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("score", places)), "doc")

@@ -139,11 +139,9 @@ def provenance_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "lexical_results", "query_id", "directory", "question").where("question is not null").distinct()
     wanted = asked.withColumn("words", H.long_words(F.col("question"))).where(F.size("words") > 0)
     words = wanted.select("query_id", "directory", F.size("words").alias("all"), F.explode("words").alias("word"))
-    held = search._corpus(spark, sf_dir).select("directory", "doc", F.explode(F.array_distinct(H.long_words(F.col("text")))).alias("word"))
-    scanned = held.join(words, ["directory", "word"]).groupBy("query_id", "directory", F.col("doc").alias("relative_path")).agg(F.count(F.lit(1)).alias("n"), F.max("all").alias("all")).where("n * 2 >= all")
-    both = _logged(spark, sf_dir).withColumn("ranked", F.lit(1)).join(scanned.withColumn("scan", F.lit(1)), ["query_id", "directory", "relative_path"], "full")
-    origin = F.when(F.col("ranked").isNotNull() & F.col("scan").isNotNull(), "both").when(F.col("scan").isNotNull(), "scan").otherwise("ranking")
-    return both.select("query_id", "directory", "relative_path", origin.alias("origin"))
+    terms = search._corpus(spark, sf_dir).select("directory", "doc", F.lit(0).cast("long").alias("length"), F.array_distinct(H.long_words(F.coalesce("text", F.lit("")))).alias("terms"))
+    found = lexical.origins(terms, words, _logged(spark, sf_dir).select("query_id", "directory", F.col("relative_path").alias("doc")))
+    return found.select("query_id", "directory", F.col("doc").alias("relative_path"), "origin")
 
 
 def secret_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

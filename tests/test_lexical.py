@@ -1,6 +1,8 @@
 import math
 import sqlite3
 
+import duckdb
+import oracle
 import pytest
 
 from folioforge.operators import lexical as L
@@ -55,10 +57,10 @@ def shuffled(spark):
     return sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())))
 
 
-def logged_search(spark, folder, questions=300, notes=300):
+def logged_search(spark, folder, questions=300, notes=300, word="quai"):
     """Tables in which every note holds a word of every question."""
-    spark.createDataFrame([(i, "v/wiki/concepts", f"{i}.md", f"le quai mot{i} {'mot ' * (i % 7)}") for i in range(notes)], "doc_id long, directory string, relative_path string, text string").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, "v/wiki/concepts", f"le quai mot{i}", f"{i}.md", 1) for i in range(questions)], "query_id long, directory string, question string, relative_path string, result_rank int").write.parquet(f"{folder}/lexical_results.parquet")
+    spark.createDataFrame([(i, "v/wiki/concepts", f"{i}.md", f"le {word} mot{i} {'mot ' * (i % 7)}") for i in range(notes)], "doc_id long, directory string, relative_path string, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, "v/wiki/concepts", f"le {word} mot{i}", f"{i}.md", 1) for i in range(questions)], "query_id long, directory string, question string, relative_path string, result_rank int").write.parquet(f"{folder}/lexical_results.parquet")
     return str(folder)
 
 
@@ -77,15 +79,40 @@ def test_bench_pairs_are_not_shuffled(spark, tmp_path):
     assert shuffled(spark) - before < 300 * 300 / 4
 
 
+def test_provenance_pairs_are_not_shuffled(spark, tmp_path):
+    folder = logged_search(spark, tmp_path, word="relance")
+    before = shuffled(spark)
+    found = index_plans.provenance_both(spark, folder).groupBy("origin").count().collect()
+    assert {r.origin: r["count"] for r in found} == {"both": 300, "scan": 300 * 299}
+    assert shuffled(spark) - before < 300 * 300 / 4
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_CHARS": 0, "HOLDINGS": 20, "PAIRS": 8}])
+def test_provenance_of_odd_rows(spark, tmp_path, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(L, name, value)
+    words = ["relance", "réserve", "comptable", "quai", "livraison", "dossier", "mandat"]
+    notes = [(100 * len(d or "") + i, d, f"{i}.md", " ".join(words[i * j % 7] for j in range(1, i % 8)) or None) for d in ("a/b", "c/d/e", None) for i in range(25)]
+    logged = [(None if i == 5 else i % 9, d, None if i == 7 else " ".join(words[(i + j) % 7] for j in range(i % 5)), None if i == 3 else f"{i}.md", i % 4) for d in ("a/b", "c/d/e", None, "absent") for i in range(28)]
+    spark.createDataFrame(notes, "doc_id long, directory string, relative_path string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(logged, "query_id long, directory string, question string, relative_path string, result_rank int").write.parquet(f"{tmp_path}/lexical_results.parquet")
+    base = duckdb.connect()
+    for name in ("documents", "lexical_results"):
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = base.execute(index_plans.ORACLE["provenance_both"]).df()
+    assert set(want["origin"]) == {"both", "scan", "ranking"}
+    assert oracle.rows(index_plans.provenance_both(spark, str(tmp_path)).toPandas()) == oracle.rows(want)
+
+
 @pytest.mark.parametrize("limits", [{}, {"BROADCAST_CHARS": 0, "DOCS": 7}, {"HOLDINGS": 50, "ASKED": 20}, {"COMMON": 2, "SHARE": 100, "PAIRS": 5}, {"COMMON": 10**6}])
 def test_best_is_top_of_bm25(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(L, name, value)
     words = ["quai", "quais", "le", "l", "relance", "réserve", "comptable", "x1", "é"]
     docs = [(d, f"{i:02d}.md", " ".join(words[(i * j + i) % 9] for j in range(i % 11)) or None) for d in ("a", "b", None) for i in range(60)]
-    asked = [(i, d, " ".join([words[i % 9], words[i * 5 % 9], "qu", "le_quai"][: 1 + i % 4])) for d in ("a", "b", "absent") for i in range(30)] + [(99, "a", "???"), (-1, "b", "l l l")]
+    asked = [(i, d, " ".join([words[i % 9], words[i * 5 % 9], "qu", "le_quai"][: 1 + i % 4])) for d in ("a", "b", "absent") for i in range(30)] + [(99, "a", "???"), (-1, "b", "l l l"), (None, "a", "quai")]
     docs, asked = spark.createDataFrame(docs, "directory string, doc string, text string"), spark.createDataFrame(asked, "query_id long, directory string, question string")
-    rows = lambda df: sorted((r.query_id, r.directory, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
+    rows = lambda df: sorted((str(r.query_id), r.directory, r["rank"], r.doc, round(r.score, 9)) for r in df.collect())
     want = rows(L.top(L.bm25(docs, asked), 3, "query_id", "directory"))
     assert len(want) > 100 and rows(L.best(docs, asked, 3)) == want
 
