@@ -79,6 +79,13 @@ def test_bench_pairs_are_not_shuffled(spark, tmp_path):
     assert shuffled(spark) - before < 300 * 300 / 4
 
 
+def test_one_hop_pairs_are_not_shuffled(spark, tmp_path):
+    folder = logged_search(spark, tmp_path)
+    before = shuffled(spark)
+    assert index_plans.bench_one_hop(spark, folder).count() >= 200
+    assert shuffled(spark) - before < 300 * 300 / 4
+
+
 def test_provenance_pairs_are_not_shuffled(spark, tmp_path):
     folder = logged_search(spark, tmp_path, word="relance")
     before = shuffled(spark)
